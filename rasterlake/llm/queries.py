@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets, sharding
+from . import mixing, pieces, secrets, sharding, tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,5 +26,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op7_secrets, op9_mixing)}
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and checksums of each document's ids, read back from the files (tokens.tokenize)."""
+    return tokens.tokenize(_documents(spark, sf_dir))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of each document (pieces.encode_documents)."""
+    return pieces.encode_documents(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op5_sharding, op7_secrets, op8_tokens, op9_mixing, op10_pieces)}
 ORACLES = {"op9_mixing": mixing.ORACLE}
