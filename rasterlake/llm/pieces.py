@@ -15,6 +15,7 @@ state at each word: words are solved one by one and each worker keeps the answer
 from __future__ import annotations
 
 import heapq
+import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -57,6 +58,7 @@ class Transducer:
             raise ValueError("a piece goes on after a word mark")
         self.lines = "\n" not in "".join(self.piece)
         self.longest = max(map(len, self.piece), default=1)
+        self.beside = {x for p in self.piece for x in zip(p, p[1:])}
         self.words: dict[str, bytes] = {}
         self.runs: dict[int, list[int]] = {}
         self.pairs: dict[int, bool] = {}
@@ -152,10 +154,10 @@ class Transducer:
 
         One state can be reached at each place: of the arcs into it, one joins a path of weight 0.
         """
-        n, rank, pairs = len(word), self.rank, self.pairs
+        n, rank, pairs, longest = len(word), self.rank, self.pairs, self.longest
         came, last = [0] * (n + 1), [-1] * (n + 1)  # -1: nothing that could merge
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(end - longest if end > longest else 0, end):
                 b = rank.get(word[start:end])
                 if b is None:
                     continue
@@ -170,12 +172,25 @@ class Transducer:
                 came[end], last[end] = start, b
                 break
             else:
-                came[end], last[end] = end - 1, -1
+                came[end] = end - 1
         out, end = [], n
         while end:
-            out.append(self._fallback(word[end - 1])[::-1] if last[end] < 0 else [self.id[last[end]]])
+            if last[end] < 0:
+                out += self._fallback(word[end - 1])[::-1]
+            else:
+                out.append(self.id[last[end]])
             end = came[end]
-        return [i for x in reversed(out) for i in (reversed(x) if len(x) > 1 else x)]
+        out.reverse()
+        return out
+
+    def _cut(self, word: str) -> list[str]:
+        """A word cut where its neighbouring characters are together in no piece: no piece spans the cut."""
+        beside, out, at = self.beside, [], 0
+        for i in [i for i, x in enumerate(zip(word, word[1:]), 1) if x not in beside]:
+            out.append(word[at:i])
+            at = i
+        out.append(word[at:])
+        return out
 
     def _shortest(self, word: str) -> list[int]:
         """Tropical shortest path through a word, for unigram models; equal weights: fewer characters last."""
@@ -204,11 +219,19 @@ class Transducer:
         elif not body:
             ids = self._run(n)
         elif n < 2:
+            parts = self._cut(word)
+            if len(parts) > 1:
+                known = self.words
+                for k, w in enumerate(parts):
+                    parts[k] = known.get(w)
+                    if parts[k] is None:
+                        parts[k] = known[w] = struct.pack(f"<{len(got := self._merged(w))}I", *got)
+                return b"".join(parts)
             ids = self._merged(word)
         else:  # marks merge with one another after everything else
             ids = self._merged(MARK + body)
             ids = self._run(n) + ids[1:] if ids[0] == self.piece[MARK] else self._run(n - 1) + ids
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
