@@ -195,40 +195,39 @@ def _vocabulary(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
-def count_ids(docs: DataFrame, path: str, size: int, last: int, text_col: str = "text") -> np.ndarray:
-    """How often each id occurs in all documents; at most `size` rows come to the driver."""
+def _pack(x: np.ndarray) -> bytes:
+    """Ids for the time between two passes."""
+    return _zstd().compress(x.astype("<u4" if len(x) and x.max() > 0xFFFF else "<u2").tobytes(), asbytes=True)
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        coder, n = WordEncoder.of(path), np.zeros(size, dtype=np.int64)
-        for b in batches(it):
-            for x in coder.encode(b.column(0).to_pylist(), last):
-                n += np.bincount(x, minlength=size) if len(x) * 8 > size else 0
-                if len(x) * 8 <= size:
-                    np.add.at(n, x, 1)
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], names=["id", "n"])
 
-    rows = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(size, dtype=np.int64)
-    for r in rows:
-        out[r.id] = r.n
-    return out
+def _unpack(data: bytes, n: int, wide: bool) -> np.ndarray:
+    raw = _zstd().decompress(data, n * (4 if wide else 2), asbytes=True)
+    return np.frombuffer(raw, "<u4" if wide else "<u2").astype(np.uint32)
 
 
-def write_files(docs: DataFrame, table: Table, path: str, last: int, id_col: str = "doc_id", text_col: str = "text", ids_a_file: int = 1 << 20) -> DataFrame:
-    """Encode all documents in ascending order of id into files: part, chunk, n_ids, data.
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
 
-    The files are rows of a Parquet table in the shared folder: part and chunk give their order.
+
+PARTS = "part int, chunk int, n_ids long, docs array<long>, sizes array<int>, wide boolean, ids binary"
+
+
+def write_ids(docs: DataFrame, path: str, last: int, id_col: str = "doc_id", text_col: str = "text", ids_a_file: int = 1 << 20) -> DataFrame:
+    """The ids of all documents in ascending order of id, in pieces of at least `ids_a_file` ids (but for the last of a part).
+
+    part and chunk give the order of the pieces, which are rows of a table in the shared folder.
     Rows are range-partitioned by id, then by a hash of the text, so equal ids spread too.
     """
 
-    def encode(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         coder, part, chunk = WordEncoder.of(path), TaskContext.get().partitionId(), 0
         names, ids, held = [], [], 0
 
         def flush():
-            data = encode_file(names, ids, table)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], names=["part", "chunk", "n_ids", "data"])
+            flat = np.concatenate(ids)
+            wide = bool(len(flat) and flat.max() > 0xFFFF)
+            columns = [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32())), pa.array([wide]), pa.array([_pack(flat)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "n_ids", "docs", "sizes", "wide", "ids"])
 
         for b in batches(it):
             for d, x in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist(), last)):
@@ -243,8 +242,39 @@ def write_files(docs: DataFrame, table: Table, path: str, last: int, id_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    files = rows.repartitionByRange(*order).sortWithinPartitions("doc_id").mapInArrow(encode, "part int, chunk int, n_ids long, data binary")
-    return materialize(files, "ids")
+    return materialize(rows.repartitionByRange(*order).sortWithinPartitions("doc_id").mapInArrow(run, PARTS), "ids")
+
+
+def count_ids(parts: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all documents; at most `size` rows come to the driver."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        n = np.zeros(size, dtype=np.int64)
+        for b in it:
+            for total, wide, data in zip(*[b.column(i).to_pylist() for i in range(3)]):
+                n += np.bincount(_unpack(data, total, wide), minlength=size)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], names=["id", "n"])
+
+    rows = parts.select("n_ids", "wide", "ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(size, dtype=np.int64)
+    for r in rows:
+        out[r.id] = r.n
+    return out
+
+
+def write_files(parts: DataFrame, table: Table) -> DataFrame:
+    """Each piece of write_ids as a file: part, chunk, n_ids, data, a table in the shared folder."""
+
+    def encode(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for b in it:
+            for k in range(b.num_rows):
+                _, _, total, names, sizes, wide, data = [c[k].as_py() for c in b.columns]
+                ids = np.split(_unpack(data, total, wide), np.cumsum(sizes)[:-1])
+                file = pa.array([encode_file(names, ids, table)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[c.slice(k, 1) for c in b.columns[:3]], file], names=["part", "chunk", "n_ids", "data"])
+
+    return materialize(parts.mapInArrow(encode, "part int, chunk int, n_ids long, data binary"), "files")
 
 
 def read_files(files: DataFrame, table: Table) -> DataFrame:
@@ -279,5 +309,6 @@ def tokenize(docs: DataFrame, path: str | None = None, last: int = 1, id_col: st
     """
     path = path or default_tokenizer()
     size = max(_vocabulary(path), last + 1)
-    table = Table(count_ids(docs, path, size, last, text_col))
-    return read_files(write_files(docs, table, path, last, id_col, text_col), table)
+    parts = write_ids(docs, path, last, id_col, text_col)
+    table = Table(count_ids(parts, size))
+    return read_files(write_files(parts, table), table)
