@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, secrets, sharding, tokens
+from . import mixing, pieces, secrets, sharding, tokens, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document (toxicity.score)."""
+    return toxicity.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendezvous shards of documents (sharding.assign_shards): 16, and with one more."""
     return sharding.assign_shards(_documents(spark, sf_dir))
@@ -36,5 +41,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op7_secrets, op8_tokens, op9_mixing, op10_pieces)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op5_sharding, op7_secrets, op8_tokens, op9_mixing, op10_pieces)}
 ORACLES = {"op9_mixing": mixing.ORACLE}
