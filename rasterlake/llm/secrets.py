@@ -156,10 +156,10 @@ def _matches(text: Column, rule: Rule, order: int) -> Column:
     return F.aggregate(lengths, zero, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: str = "") -> DataFrame:
     """All secrets of each document: doc_id, found (array of start, ord, end, kind; sorted), text.
 
-    With `keep`, all columns of docs stay, and `found` is put after them.
+    With `keep`, all columns of docs stay, and found is put after them under that name.
 
     Places are code points, end exclusive.  A null text has none.  Rows with the same id share
     candidates, which only adds searches; null ids are matched as values.  Of an empty table
@@ -176,7 +176,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
         parts.append(F.when(maybe, _matches(text, r, i)).otherwise(none))
     spans = F.array_sort(reduce(F.concat, parts))
     if keep:
-        return rows.select(*[docs[c] for c in docs.columns], spans.alias("found"))
+        return rows.select(*[docs[c] for c in docs.columns], spans.alias(keep))
     return rows.select(docs[id_col].alias("doc_id"), text.alias("text"), spans.alias("found"))
 
 
@@ -190,7 +190,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
 
     Columns and rows stay as they are; a null text stays null.
     """
-    rows = scan(docs, rules, id_col, text_col, keep=True)
+    rows = scan(docs, rules, id_col, text_col, keep="_secrets")
     text = F.col(text_col)
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -199,8 +199,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
         fresh = F.concat(acc["out"], gap, F.lit(mask))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
-    clean = F.aggregate(F.col("found"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return rows.withColumn(text_col, F.when(F.size("found") > 0, clean).otherwise(text)).select(*docs.columns)
+    clean = F.aggregate(F.col("_secrets"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    return rows.withColumn(text_col, F.when(F.size("_secrets") > 0, clean).otherwise(text)).select(*docs.columns)
 
 
 def digest(scanned: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
