@@ -27,6 +27,7 @@ from .common import batches, materialize, text_of
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6, 7)
 BLOCK, NEIGHBOURS, PRIOR = 64, 15, 0.25
+MANY = 8  # blocks that are cheaper to score in one pass over the postings
 
 
 def terms_of(word: str) -> list[str]:
@@ -77,19 +78,28 @@ class Model:
         order = order[: np.count_nonzero(bound)]
         best, cos, at, step = np.empty(0, int), np.empty(0), 0, 4
         while at < len(order) and (len(best) < k or bound[order[at]] >= cos[-1] - 1e-12):
-            part = np.sort(order[at : at + step])
-            slot = {b: i for i, b in enumerate(part.tolist())}
-            got = np.zeros((len(part), BLOCK))
-            for t, w in zip(terms, q):
-                r, v = self.post[t]
-                lo = np.searchsorted(r, part * BLOCK)
-                hi = np.searchsorted(r, (part + 1) * BLOCK)
-                for b, a, z in zip(part.tolist(), lo.tolist(), hi.tolist()):
-                    if z > a:
-                        got[slot[b], r[a:z] - b * BLOCK] += w * v[a:z]
+            # one more step of a few blocks, or all that the bound leaves where those are many
+            left = order[at:] if len(best) < k else order[at : at + int(np.searchsorted(-bound[order[at:]], -(cos[-1] - 1e-12), side="right"))]
+            if at and len(left) > MANY:
+                got = np.bincount(np.concatenate([self.post[t][0] for t in terms]), np.concatenate([w * self.post[t][1] for t, w in zip(terms, q)]), len(bound) * BLOCK).reshape(-1, BLOCK)
+                part = np.sort(left)
+                got, step = got[part], len(left)
+            else:
+                part = np.sort(order[at : at + step])
+                slot = {b: i for i, b in enumerate(part.tolist())}
+                got = np.zeros((len(part), BLOCK))
+                for t, w in zip(terms, q):
+                    r, v = self.post[t]
+                    lo = np.searchsorted(r, part * BLOCK)
+                    hi = np.searchsorted(r, (part + 1) * BLOCK)
+                    for b, a, z in zip(part.tolist(), lo.tolist(), hi.tolist()):
+                        if z > a:
+                            got[slot[b], r[a:z] - b * BLOCK] += w * v[a:z]
             names = (part[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             flat = got.ravel()
             some = np.flatnonzero((flat > 0) & (names != but))
+            if len(some) > 4 * k:  # none below the k-th largest can stay
+                some = some[flat[some] >= np.partition(flat[some], -k)[-k]]
             best, cos = np.concatenate([best, names[some]]), np.concatenate([cos, flat[some]])
             top = np.lexsort((best, -cos))[:k]
             best, cos = best[top], cos[top]
