@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, text_of
+from .common import batches, materialize, maybe_in, text_of
 from .components import components
 
 WORD = re.compile(r"\w+")
@@ -33,7 +33,7 @@ SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 16, 5
 SLACK = 4.0  # standard deviations that the share of equal samples may be below LEAST
 FREQUENT = 1 / 1024
-BUCKET_BLOCK, FAMILY_BLOCK = 1024, 256
+BUCKET_BLOCK, FAMILY_BLOCK = 1024, 512
 _TABLE = 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -83,12 +83,12 @@ def word_hash(word: str) -> int:
 
 @lru_cache(maxsize=2)
 def _random_tables(k: int, seed: int = 1):
-    """Odd multipliers of each sample, and quantiles of the distributions that sampling draws from."""
+    """An odd multiplier for each sample; draws of r and of ln c, with 512 more so that all are positive and their bits sort as they do."""
     rng = np.random.default_rng(seed)
-    odd = rng.integers(0, 1 << 63, (k, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    odd = rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     r = rng.gamma(2.0, 1.0, 1 << _TABLE).astype(np.float32)
     c = np.log(rng.gamma(2.0, 1.0, 1 << _TABLE)).astype(np.float32)
-    return odd, np.maximum(r, np.float32(1e-6)), c
+    return odd, np.maximum(r, np.float32(1e-6)), c + np.float32(512)
 
 
 def samples(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: int = BANDS * ROWS) -> np.ndarray:
@@ -98,18 +98,32 @@ def samples(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: in
     r and c from Gamma(2, 1), b from (0, 1), all given by s; the sample is (s, t) of least a.
     """
     odd, big_r, big_c = _random_tables(k)
-    lnw = np.log(weights).astype(np.float32)
+    n, lnw = len(shingles), np.log(weights).astype(np.float32)
     out = np.empty((len(starts), k), np.uint32)
-    shift, one = np.uint64(64 - _TABLE), np.float32(1)
+    # buffers, so that no array is made anew for each sample
+    x, at, key = (np.empty(n, np.uint64) for _ in range(3))
+    r, c, b, t = (np.empty(n, np.float32) for _ in range(4))
+    name, low, half = np.empty(n, np.uint32), x.view(np.uint32)[::2], key.view(np.uint32).reshape(n, 2)
     for i in range(k):
-        r = big_r.take((shingles * odd[i, 0] >> shift).view(np.int64))
-        c = big_c.take((shingles * odd[i, 1] >> shift).view(np.int64))
-        x = shingles * odd[i, 2]
-        b = (x >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-        t = np.floor(lnw / r + b)
-        a = c - r * (t - b + one) + np.float32(512)  # positive, so that its bits sort as it does
-        name = (x * odd[i, 3] >> np.uint64(32)) + t.astype(np.int64).view(np.uint64) * _MIX
-        key = (np.maximum(a, 0).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (name & np.uint64(0xFFFFFFFF))
+        np.multiply(shingles, odd[i], out=x)
+        np.right_shift(x, np.uint64(64 - _TABLE), out=at)
+        big_r.take(at.view(np.int64), out=r, mode="wrap")
+        np.right_shift(x, np.uint64(64 - 2 * _TABLE), out=at)
+        np.bitwise_and(at, np.uint64((1 << _TABLE) - 1), out=at)
+        big_c.take(at.view(np.int64), out=c, mode="wrap")
+        np.bitwise_and(low, np.uint32((1 << 24) - 1), out=name)
+        np.multiply(name, np.float32(2.0**-24), out=b, casting="unsafe")
+        np.divide(lnw, r, out=t)
+        t += b
+        np.floor(t, out=t)
+        np.subtract(t, b, out=b)
+        b += np.float32(1)
+        b *= r
+        c -= b
+        name[:] = t.astype(np.int32).view(np.uint32)
+        name *= np.uint32(0x9E3779B9)
+        name += low
+        half[:, 0], half[:, 1] = name, c.view(np.uint32)
         out[:, i] = np.minimum.reduceat(key, starts).astype(np.uint32)
     return out
 
@@ -153,7 +167,7 @@ def signed(docs: DataFrame, idf: dict[int, float], id_col: str = "doc_id", text_
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         make = Shingler(idf)
-        for b in batches(it, 64):
+        for b in batches(it, 48):
             parts = [make.shingles(t) for t in b.column(1).to_pylist()]
             some = [i for i, p in enumerate(parts) if len(p[0])]
             bands: list = [None] * len(parts)
@@ -167,7 +181,7 @@ def signed(docs: DataFrame, idf: dict[int, float], id_col: str = "doc_id", text_
                     keys ^= keys >> np.uint64(32)
                 keys += np.arange(BANDS, dtype=np.uint64) * _MIX
                 for row, i in enumerate(some):
-                    bands[i], marks[i] = keys[row].view(np.int64), got[row].astype(np.uint8).tobytes()
+                    bands[i], marks[i] = keys[row].view(np.int64), (got[row] >> np.uint32(24)).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[2] for p in parts], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "same", "bands", "mark"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).filter("doc_id is not null")
@@ -252,8 +266,9 @@ def families(rows: DataFrame, least: float = LEAST) -> DataFrame:
     enough = least - SLACK * float(np.sqrt(least * (1 - least) / k))
     met = rows.select("doc_id", F.explode("bands").alias("key"))
     many = materialize(met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
-    marked = rows.select(F.explode("bands").alias("key"), "doc_id", "mark")
-    pairs = dealt(blocked(marked, many, "key", BUCKET_BLOCK).select("key", "i", "j", "side", "doc_id", "mark"), "key")
+    # marks join those that meet another, not every band of every text
+    kept = met.join(many.select("key"), "key").join(rows.select("doc_id", "mark"), "doc_id")
+    pairs = dealt(blocked(kept, many, "key", BUCKET_BLOCK).select("key", "i", "j", "side", "doc_id", "mark"), "key")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for (_, i, j), own in runs(it):
@@ -339,6 +354,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id
     member = maybe.join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("family"), "n")
     member = member.join(firsts.select("doc_id", "mark").dropDuplicates(["doc_id"]), "doc_id")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    member = materialize(member, "members")
+    texts = maybe_in(texts, "doc_id", member)
     links = verified(materialize(member.join(texts, "doc_id").select("family", "n", "doc_id", "mark", "text"), "texts"), idf, least)
     # an id that stands for several texts links them
     many = named.groupBy("doc_id").agg(F.min("rep").alias("u"), F.count("*").alias("n")).filter("n > 1").drop("n")
