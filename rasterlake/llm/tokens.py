@@ -162,6 +162,8 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
+        probe = ["Abz", "abz", "aBZ"]  # is case folded, and a word of letters one piece?
+        self.lower = len({tuple(self.tok.encode(w, add_special_tokens=False).ids) for w in probe} | {tuple(t.id for t in self.tok.model.tokenize("abz"))}) == 1
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -173,14 +175,24 @@ class WordEncoder:
         end = b"" if last is None else struct.pack("<I", last)
         if len(self.ids) > WORDS_KEPT:
             self.ids = dict(islice(self.ids.items(), WORDS_KEPT // 4))
+        # ASCII texts are lower-cased at once, which saves words; the names of special tokens keep their case
+        texts = [x.lower() if self.lower and x.isascii() and "<|" not in x else x for x in texts]
         words = [_ascii_space.split(x) if _plain.search(x) else x.split() for x in texts]
-        new = list(set().union(*[set(w).difference(self.ids) for w in words]))
+        get = self.ids.get
+        parts = [list(map(get, w)) for w in words]
+        some = [i for i, p in enumerate(parts) if None in p]
+        new = {w for i in some for w, p in zip(words[i], parts[i]) if p is None}
+        easy = [w for w in new if self.lower and w.isascii() and w.isalpha() and w.islower()]
+        for w in easy:  # a word of small letters is one piece for the model as it is
+            self.ids[w] = np.array([t.id for t in self.tok.model.tokenize(w)], "<u4").tobytes()
+        new = list(new.difference(easy))
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
                 self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.ids.__getitem__
-        return [np.frombuffer(b"".join(map(get, w)) + end, "<u4") for w in words]
+        for i in some:
+            parts[i] = map(self.ids.__getitem__, words[i])
+        return [np.frombuffer(b"".join(p) + end, "<u4") for p in parts]
 
 
 def default_tokenizer() -> str:
