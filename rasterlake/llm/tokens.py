@@ -14,12 +14,15 @@ each); first states (u64 each); checkpoints (u32 step, u32 words before it, stat
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import islice
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,7 @@ BITS = 20  # of the frequency table's sum
 BLOCK, LANES, EVERY = 1 << 18, 1024, 128
 LOW = 1 << 31  # states are in LOW .. LOW << 32
 MAGIC = b"IDANS1\0\0"
-WORDS_KEPT = 1_000_000  # words of a worker's cache, some 250 MB
+WORDS_KEPT = 2_000_000  # words of a worker's cache, some 500 MB
 
 
 class Table:
@@ -148,6 +151,84 @@ _plain = re.compile("[\x1c-\x1f]")  # str.split() takes these for space, the tok
 _ascii_space = re.compile("[ \t\n\r\x0b\x0c]+")
 _cached: dict[str, tuple] = {}
 
+_letters = re.compile(r"([^\W\d_A-Z]+)([.,;:!?]*)")
+
+
+class Merges:
+    """Byte-level pair merging of many words at once: in each, the pair of least rank, the first of equal ones, until none is left."""
+
+    LONGEST = 40  # bytes; longer words are merged one by one
+
+    def __init__(self, path: str):
+        model = json.loads(Path(path).read_text())["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
+        # printable bytes stand for themselves, the others for characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        chars = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}
+        self.inner = np.array([vocab.get(chars[b], -1) for b in range(256)])
+        self.last = np.array([vocab.get(chars[b] + end, -1) for b in range(256)])
+        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
+        self.size = max(vocab.values()) + 1
+        keys = np.array([vocab[x] * self.size + vocab[y] for x, y in pairs])
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.made = np.array([vocab[x + y] for x, y in pairs])
+
+    def rank(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * self.size + z
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (z >= 0), self.order[at], np.int32(1 << 30)).astype(np.int32)
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode() for w in words]
+        out: list[bytes] = [b""] * len(words)
+        sizes = np.array([len(r) for r in raw], int)
+        order = np.argsort(sizes, kind="stable")
+        for lo in range(0, len(order), 4096):
+            self._batch(order[lo : lo + 4096], raw, sizes, out)
+        return out
+
+    def _batch(self, rows: np.ndarray, raw: list[bytes], sizes: np.ndarray, out: list[bytes]) -> None:
+        rows = rows[sizes[rows] > 0]
+        if not len(rows):
+            return
+        width = int(sizes[rows].max())
+        if width > self.LONGEST and len(rows) > 1:
+            for r in rows:
+                self._batch(np.array([r]), raw, sizes, out)
+            return
+        n = sizes[rows]
+        flat = np.frombuffer(b"".join(raw[r].ljust(width, b"\0") for r in rows), np.uint8).reshape(len(rows), width)
+        s = np.where(np.arange(width)[None] < n[:, None], self.inner[flat], -1)
+        s[np.arange(len(rows)), n - 1] = self.last[flat[np.arange(len(rows)), n - 1]]
+        s = np.concatenate([s, np.full((len(rows), 1), -1)], 1).astype(np.int32)
+        r = self.rank(s[:, :-1], s[:, 1:])
+        while True:
+            at = r.argmin(1)
+            best = r[np.arange(len(rows)), at]
+            done = best == 1 << 30
+            if done.any():
+                own = s[done]
+                some = own >= 0
+                data, ends = own[some].astype("<u4").tobytes(), (4 * np.cumsum(some.sum(1))).tolist()
+                for k, x, z in zip(rows[done].tolist(), [0, *ends], ends):
+                    out[k] = data[x:z]
+                go = ~done
+                rows, s, r, at, best = rows[go], s[go], r[go], at[go], best[go]
+                if not len(rows):
+                    return
+            here = np.arange(len(rows))
+            cols = np.arange(s.shape[1])[None]
+            s = np.take_along_axis(s, np.minimum(cols + (cols > at[:, None]), s.shape[1] - 1), 1)
+            s[here, at] = self.made[best]
+            s[:, -1] = -1
+            cols = cols[:, :-1]
+            r = np.take_along_axis(r, np.minimum(cols + (cols > at[:, None]), r.shape[1] - 1), 1)
+            r[:, -1] = 1 << 30
+            r[here, at] = self.rank(s[here, at], s[here, np.minimum(at + 1, s.shape[1] - 1)])
+            prev = np.flatnonzero(at > 0)
+            r[prev, at[prev] - 1] = self.rank(s[prev, at[prev] - 1], s[prev, at[prev]])
+
 
 class WordEncoder:
     """Ids of texts by a tokenizer of the tokenizers library whose tokens never span white space.
@@ -163,14 +244,40 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
         probe = ["Abz", "abz", "aBZ"]  # is case folded, and a word of letters one piece?
+        self.merges = None
         self.lower = len({tuple(self.tok.encode(w, add_special_tokens=False).ids) for w in probe} | {tuple(t.id for t in self.tok.model.tokenize("abz"))}) == 1
 
+        if self.lower and not self.tok.model.byte_fallback:
+            self.merges = Merges(path)
+            some = ["the", "anblewh", "straße", "menteasja", "éêtionvi", "a", "日本語", "zzzzqqq"]
+            if [*self.merges.encode(some)] != [np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in some]:
+                self.merges = None  # another kind of tokenizer: all words go to the library
+
     @classmethod
     def of(cls, path: str) -> WordEncoder:
         if path not in _cached:
             _cached[path] = cls(path)
         return _cached[path]
 
+    def _learn(self, new: set[str]) -> None:
+        """Ids of new words.  Small letters with marks after them are two pieces; letters go to Merges, the rest to the library."""
+        cut = {}
+        if self.merges is not None:
+            for w in new:
+                m = _letters.fullmatch(w)
+                if m and (w.isascii() or m[1].isalpha() and m[1] == m[1].lower() and unicodedata.is_normalized("NFC", m[1])):
+                    cut[w] = m[1], m[2]
+            base = list({x for x, _ in cut.values()}.difference(self.ids))
+            self.ids.update(zip(base, self.merges.encode(base)))
+        rest = [w for w in new.difference(cut) | {m for _, m in cut.values() if m} if w not in self.ids]
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                self.ids[w] = np.array(e.ids, "<u4").tobytes()
+        for w, (x, m) in cut.items():
+            if m:
+                self.ids[w] = self.ids[x] + self.ids[m]
+
     def encode(self, texts: list[str], last: int | None = None) -> list[np.ndarray]:
         end = b"" if last is None else struct.pack("<I", last)
         if len(self.ids) > WORDS_KEPT:
@@ -182,14 +289,7 @@ class WordEncoder:
         parts = [list(map(get, w)) for w in words]
         some = [i for i, p in enumerate(parts) if None in p]
         new = {w for i in some for w, p in zip(words[i], parts[i]) if p is None}
-        easy = [w for w in new if self.lower and w.isascii() and w.isalpha() and w.islower()]
-        for w in easy:  # a word of small letters is one piece for the model as it is
-            self.ids[w] = np.array([t.id for t in self.tok.model.tokenize(w)], "<u4").tobytes()
-        new = list(new.difference(easy))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
+        self._learn(new)
         for i in some:
             parts[i] = map(self.ids.__getitem__, words[i])
         return [np.frombuffer(b"".join(p) + end, "<u4") for p in parts]
