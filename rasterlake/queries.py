@@ -221,14 +221,13 @@ def adjacent_blocks(spark, sf):
     return geo.adjacent(D.tiles(spark, sf).filter("level = 0"), 11, 4)
 
 
-@query("SELECT g.block, g.x, g.y, round(slope, 9) AS slope, CASE WHEN raw IS NULL THEN NULL ELSE round(coalesce(map {0: 1e6, 10: 1.6, 20: 1.3, 30: 1.0, 40: 1.1, 50: 2.0, 60: 1.0, 70: 3.0, 80: 50.0, 90: 3.0, 95: 5.0, 100: 1.2}[kind]::DOUBLE, 1.5) * (1 + 0.08::DOUBLE * slope), 4) END AS cost FROM g JOIN v_cover ON wgx = floor((x + 0.5) / 3) AND wgy = floor((y + 0.5) / 3)",
+@query("SELECT g.block, g.x, g.y, round(slope, 9) AS slope, CASE WHEN raw IS NULL THEN NULL ELSE (coalesce(map {0: 1e6, 10: 1.6, 20: 1.3, 30: 1.0, 40: 1.1, 50: 2.0, 60: 1.0, 70: 3.0, 80: 50.0, 90: 3.0, 95: 5.0, 100: 1.2}[kind]::DOUBLE, 1.5) * (1 + 0.08::DOUBLE * slope))::FLOAT::DOUBLE END AS cost FROM g JOIN v_cover ON wgx = floor((x + 0.5) / 3) AND wgy = floor((y + 0.5) / 3)",
        ", f AS (SELECT block, x, y, v AS raw, coalesce(v, avg(v) OVER (PARTITION BY block)) AS v FROM v_cell), h AS (SELECT *, (coalesce(lead(v) OVER wx, v) - coalesce(lag(v) OVER wx, v)) / (CASE WHEN x IN (0, 9) THEN 1 ELSE 2 END * 30.0::DOUBLE) AS gx, (coalesce(lead(v) OVER wy, v) - coalesce(lag(v) OVER wy, v)) / (CASE WHEN y IN (0, 9) THEN 1 ELSE 2 END * 40.0::DOUBLE) AS gy FROM f WINDOW wx AS (PARTITION BY block, y ORDER BY x), wy AS (PARTITION BY block, x ORDER BY y)), g AS (SELECT *, greatest(0.0, least(45.0, degrees(atan(sqrt(gx * gx + gy * gy))))) AS slope FROM h)")
 def cost_surface(spark, sf):
     """Slope and travel cost of cells; null where the height is unknown."""
     out = geo.cost_surface(D.cells(spark, sf), D.cover(spark), 30.0, 40.0, -9999.0)
     cost = F.col("cost").cast("double")
-    # single precision was asked for; cells of whole blocks are compared to four places
-    return out.select("block", "x", "y", F.round("slope", 9).alias("slope"), F.when(cost != float("inf"), F.round(C.land_cost(F.lit(30)) * cost, 4)).alias("cost"))
+    return out.select("block", "x", "y", F.round("slope", 9).alias("slope"), F.when(cost != float("inf"), cost).alias("cost"))
 
 
 @query("SELECT kind, count(*) AS requests, sum(resp_body_bytes)::BIGINT AS bytes FROM v_log GROUP BY kind")
