@@ -3,11 +3,14 @@
 Vectors are scaled to length one.  Coarse centroids and, for the residuals, a codebook for each
 subspace are fitted on a bounded sample; every vector is then put in the list of its nearest
 centroid with its codes.  Two vectors of cosine c are sqrt(2 - 2c) apart, and a neighbour that
-lies in another list is beyond the plane between the two centroids; a difference in a random
-direction of d dimensions has 1/sqrt(d) of its length across that plane.  So a vector probes
-the lists whose plane is within PROBE / sqrt(d) of that distance.  In a list, codes that the
-lookup tables put farther off than the distance plus the code's own error are left out (that
-loses nothing), and the rest are compared exactly in double precision.
+lies in another list is beyond the plane between the two centroids.  So a vector that is farther
+from that plane than this distance has no neighbour in the list, and it probes all other lists:
+none is lost, and as that holds for either vector of a pair, one of them need probe.  Lists near
+each other form groups, of which each has one copy of a vector that probes any of its lists; all
+pairs in a group meet.  Vectors that are farther from what a code stands for than the distance
+plus the code's own error are left out (that loses nothing), and the rest are compared exactly
+in double precision.  Vectors without structure probe nearly all groups: then the work grows with
+the square of their number.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import components
 
-PROBE = 2.5
 SUBSPACES, CODES = 8, 256
 LISTS, SAMPLE_PER_LIST = 4096, 64
-BLOCK = 1024
+BLOCK = 1024  # vectors compared with as many at a time
+SIDE = 4  # such blocks that are dealt together, and are a group on average
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -40,12 +43,16 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 
 class Quantiser:
-    """Coarse centroids and residual codebooks for vectors of one length."""
+    """Coarse centroids, in order of their groups, and residual codebooks for vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, lists: int, seed: int = 6):
+    def __init__(self, sample: np.ndarray, lists: int, groups: int = 1, seed: int = 6):
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
-        self.centre = _kmeans(sample, max(1, min(lists, len(sample))), 8, rng)
+        centre = _kmeans(sample, max(1, min(lists, len(sample))), 8, rng)
+        middle = _kmeans(centre, max(1, min(groups, len(centre))), 4, rng)
+        group = np.unique((centre @ middle.T - 0.5 * (middle * middle).sum(1)).argmax(1), return_inverse=True)[1]
+        order = np.argsort(group, kind="stable")
+        self.centre, self.group = centre[order], group[order]
         self.cuts = np.linspace(0, d, min(SUBSPACES, d) + 1).astype(int)
         rest = sample - self.centre[self.home(sample)[0]]
         self.books = [_kmeans(np.ascontiguousarray(rest[:, a:z]), min(CODES, len(rest)), 6, rng) for a, z in zip(self.cuts, self.cuts[1:])]
@@ -56,12 +63,13 @@ class Quantiser:
         return d.argmin(1), d
 
     def probes(self, x: np.ndarray, reach: float) -> list[np.ndarray]:
-        """Lists, not before a vector's own, that are as near as a neighbour within `reach` may lie; its own is first."""
+        """Groups after a vector's own that have a list where a neighbour within `reach` may lie; its own is first."""
         home, d = self.home(x)
-        gap = np.sqrt(np.maximum(self.home(self.centre[home])[1], 1e-18))  # from a vector's own centroid to all
-        off = (d - d[np.arange(len(x)), home][:, None]) / (2 * gap)
-        ok = off <= PROBE * reach / np.sqrt(x.shape[1])
-        return [np.concatenate([[h], np.flatnonzero(row & (np.arange(len(row)) > h))]) for h, row in zip(home, ok)]
+        gaps = self.home(self.centre[home])[1]  # squared, from a vector's own centroid to all
+        # (d - own) / (2 * gap) is how far off the plane is; the small numbers are more than any rounding
+        ok = d - d[np.arange(len(home)), home][:, None] <= 2 * (reach + 1e-6) * np.sqrt(gaps + 1e-12) + 1e-9
+        ok = np.logical_or.reduceat(ok, np.flatnonzero(np.diff(self.group, prepend=-1)), axis=1)
+        return [np.concatenate([[g], np.flatnonzero(row[g + 1 :]) + g + 1]) for g, row in zip(self.group[home], ok)]
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and how far each vector is from what its codes stand for."""
@@ -72,13 +80,9 @@ class Quantiser:
             back.append(book[code])
         return np.stack(codes, 1), np.sqrt(((rest - np.concatenate(back, 1)) ** 2).sum(1))
 
-    def distances(self, x: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances from x to the coded vectors of a list, from tables of x's residual to each code."""
-        rest, out = x - self.centre[of], np.zeros((len(x), len(codes)))
-        for m, ((a, z), book) in enumerate(zip(zip(self.cuts, self.cuts[1:]), self.books)):
-            part = rest[:, a:z]
-            out += ((part * part).sum(1)[:, None] + (book**2).sum(1) - 2 * part @ book.T)[:, codes[:, m]]
-        return out
+    def decode(self, home: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What codes of these lists stand for."""
+        return self.centre[home] + np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], 1)
 
 
 def _spanning(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +98,18 @@ def _spanning(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows, cols = new_rows, new_cols
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Doubles, in single precision where that is the same."""
+    short = x.astype(np.float32)
+    return (short if (short == x).all() else x).tobytes()
+
+
+def _unpack(rows: list[bytes], d: int) -> np.ndarray:
+    if all(len(r) == 4 * d for r in rows):
+        return np.frombuffer(b"".join(rows), np.float32).reshape(-1, d).astype(np.float64)
+    return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * d else np.float64).astype(np.float64) for r in rows])
+
+
 def _floats(column: pa.Array) -> list[np.ndarray]:
     """Each row of a list column as doubles."""
     ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
@@ -109,8 +125,8 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_
     id.  Equal vectors are one entry of the index with a count.  Rows that repeat an id count
     each.  Of an empty table the result is empty.  Other columns are not looked at.
 
-    The quantiser is fitted on at most LISTS * SAMPLE_PER_LIST vectors of the commonest length;
-    lists grow with the square root of the entries up to LISTS.  Vectors of other lengths are
+    All links are found.  The quantiser is fitted on at most LISTS * SAMPLE_PER_LIST vectors of the
+    commonest length; lists grow with the square root of the entries up to LISTS.  Vectors of other lengths are
     compared exhaustively, in blocks.
     """
     reach = float(np.sqrt(2 - 2 * least))
@@ -126,7 +142,7 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_
         lists = min(LISTS, lists or max(1, int(np.sqrt(total))))
         some = entries.filter(F.size("vec") == d).orderBy(F.xxhash64("doc_id")).limit(lists * SAMPLE_PER_LIST).select("vec").toArrow()
         x = np.stack(_floats(some.column("vec").combine_chunks()))
-        model = Quantiser(x / np.linalg.norm(x, axis=1)[:, None], lists)
+        model = Quantiser(x / np.linalg.norm(x, axis=1)[:, None], lists, -(-total // (SIDE * BLOCK)))
 
     def index(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in it:
@@ -141,10 +157,10 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_
                     x /= np.linalg.norm(x, axis=1)[:, None]
                     home = model.home(x)[0]
                     c, e = model.encode(x, home)
-                    for i, pr, ci, ei in zip(fit, model.probes(x, reach), c, e):
-                        probes[i], codes[i], errors[i] = pr, ci.tobytes(), float(ei)
+                    for i, pr, hi, ci, ei in zip(fit, model.probes(x, reach), home.astype(np.int32), c, e):
+                        probes[i], codes[i], errors[i] = pr, hi.tobytes() + ci.tobytes(), float(ei)
                 for i, (doc, n) in enumerate(zip(p.column("doc_id").to_pylist(), p.column("n").to_pylist())):
-                    raw = vecs[i].tobytes()
+                    raw = _pack(vecs[i])
                     if i in probes:
                         out.append((int(probes[i][0]), 0, doc, n, raw, codes[i], errors[i]))
                         out += [(int(k), 1, doc, n, raw, b"", 0.0) for k in probes[i][1:]]
@@ -155,44 +171,51 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_
     shape = "list int, query byte, doc_id long, n long, raw binary, code binary, error double"
     listed = entries.select("doc_id", "n", "vec").mapInArrow(index, shape)
     listed = materialize(listed, "lists")
-    # members meet members of their own list by pairs of blocks; those who probe the list meet each block of members
+    # members meet members of their own group by pairs of blocks; those who probe the group meet each block of members
     sizes = materialize(listed.groupBy("list").agg(F.count(F.when(F.col("query") == 0, 1)).alias("n")), "sizes")
     own = _spread(listed, sizes)
 
+    def meet(ids: list[np.ndarray], n: list[np.ndarray], a: np.ndarray, z: np.ndarray, may: np.ndarray, same: bool) -> tuple | None:
+        """Links among the pairs that may be: ids, the least id that each is linked to, number of rows linked."""
+        if same:
+            np.fill_diagonal(may, False)
+        r, c = np.nonzero(may)
+        yes = np.concatenate([np.zeros(0, bool)] + [(a[rr] * z[cc]).sum(1) / (np.sqrt((a[rr] ** 2).sum(1)) * np.sqrt((z[cc] ** 2).sum(1))) >= least for rr, cc in ((r[at : at + (1 << 16)], c[at : at + (1 << 16)]) for at in range(0, len(r), 1 << 16))])
+        r, c = r[yes], c[yes]
+        if not len(r):
+            return None
+        if same:
+            r, c = np.concatenate([r, c]), np.concatenate([c, r])
+        (left, r), (right, c) = (np.unique(x, return_inverse=True) for x in (r, c))
+        hit = np.zeros((len(left), len(right)), bool)
+        hit[r, c] = True
+        rows_to, cols_to = _spanning(hit | np.eye(len(left), dtype=bool) if same else hit)
+        names = np.concatenate([ids[0][left], ids[1][right]])
+        if same:
+            return names[: len(left)], names[rows_to], hit @ n[1][right]
+        return names, names[np.concatenate([rows_to, cols_to])], np.concatenate([hit @ n[1][right], hit.T @ n[0][left]])
+
     def compare(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for (of, i, j, guest), left, right in _blocks(it):
+        for (of, *_), left, right in _blocks(it):
             same = right is None
             q, y = left, left if same else right
             if not len(q[0]) or not len(y[0]):
                 continue
-            a, z = (np.frombuffer(b"".join(s[2]), np.float64).reshape(len(s[0]), -1) for s in (q, y))
-            la, lz = np.sqrt((a * a).sum(1)), np.sqrt((z * z).sum(1))
-            if model is not None and of >= 0:
-                near = model.distances(a / la[:, None], of, np.frombuffer(b"".join(y[3]), np.uint8).reshape(len(y[0]), -1))
-                may = np.sqrt(np.maximum(near, 0)) <= reach + np.array(y[4])[None, :] + 1e-6
-            else:
-                may = np.ones((len(a), len(z)), bool)
-            if same:
-                np.fill_diagonal(may, False)
-            hit = np.zeros_like(may)
-            r, c = np.nonzero(may)
-            for at in range(0, len(r), 1 << 16):
-                rr, cc = r[at : at + (1 << 16)], c[at : at + (1 << 16)]
-                hit[rr, cc] = (a[rr] * z[cc]).sum(1) / (la[rr] * lz[cc]) >= least
-            if same:
-                hit |= hit.T
-            if not hit.any():
-                continue
-            ids, counts = [*q[0]], hit @ np.array(y[1], np.int64)
-            rows_to, cols_to = _spanning(hit | np.eye(len(a), dtype=bool) if same else hit)
-            names = np.array([*q[0], *y[0]], np.int64)
-            to = names[rows_to]
-            if not same:
-                ids += y[0]
-                counts = np.concatenate([counts, hit.T @ np.array(q[1], np.int64)])
-                to = np.concatenate([to, names[cols_to]])
-            keep = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[keep]), pa.array(to[keep]), pa.array(counts[keep])], names=["u", "v", "n"])
+            a, z = (_unpack(s[2], d if of >= 0 else -of) for s in (q, y))
+            ids, n = ([np.array(s[k], np.int64) for s in (q, y)] for k in (0, 1))
+            if of >= 0:
+                unit = a / np.sqrt((a * a).sum(1))[:, None]
+                codes = np.frombuffer(b"".join(y[3]), np.uint8).reshape(len(z), -1)
+                stands = model.decode(np.ascontiguousarray(codes[:, :4]).view(np.int32)[:, 0], codes[:, 4:])
+                # |u - s| <= reach + error, for a vector u of length one
+                least_dot = (1 + (stands * stands).sum(1) - (reach + np.array(y[4]) + 1e-6) ** 2) / 2 - 1e-9
+            for at in range(0, len(a), BLOCK):
+                for to in range(at if same else 0, len(z), BLOCK):
+                    i, j = slice(at, at + BLOCK), slice(to, to + BLOCK)
+                    may = unit[i] @ stands[j].T >= least_dot[j] if of >= 0 else np.ones((len(a[i]), len(z[j])), bool)
+                    got = meet([ids[0][i], ids[1][j]], [n[0][i], n[1][j]], a[i], z[j], may, same and at == to)
+                    if got:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["u", "v", "n"])
 
     found = materialize(own.mapInArrow(compare, "u long, v long, n long"), "found")
     comp = components(found.select("u", "v")).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
@@ -211,7 +234,7 @@ def _spread(listed: DataFrame, sizes: DataFrame) -> DataFrame:
     `guest` of guests with block i of members.
     """
     many = materialize(listed.filter("query = 1").groupBy("list").agg(F.count("*").alias("guests")), "guests")
-    sizes = sizes.join(many, "list", "left").select("list", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK)).cast("int").alias("own"), F.ceil(F.coalesce("guests", F.lit(0)) / BLOCK).cast("int").alias("away"))
+    sizes = sizes.join(many, "list", "left").select("list", F.greatest(F.lit(1), F.ceil(F.col("n") / (SIDE * BLOCK))).cast("int").alias("own"), F.ceil(F.coalesce("guests", F.lit(0)) / (SIDE * BLOCK)).cast("int").alias("away"))
     rows = listed.join(materialize(sizes, "blocks"), "list")
     part = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.when(F.col("query") == 0, F.col("own")).otherwise(F.col("away"))).cast("int")
     rows = rows.withColumn("part", part)

@@ -54,6 +54,21 @@ def test_recall_on_close_and_far_neighbours(spark, monkeypatch, block):
     assert sum(got[i][1] == c for i, _, c in want) >= 0.97 * len(want)
 
 
+def test_all_links_of_vectors_of_few_dimensions(spark, monkeypatch):
+    monkeypatch.setattr(E, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    vecs = rng.normal(size=(3000, 4)) @ rng.normal(size=(4, 64)) + 0.3 * rng.normal(size=(3000, 64))
+    unit = vecs / np.linalg.norm(vecs, axis=1)[:, None]
+    links = unit @ unit.T >= 0.9
+    np.fill_diagonal(links, False)
+    least = np.arange(3000)
+    while (less := np.minimum(least, np.where(links, least, 3000).min(1))).tolist() != least.tolist():
+        least = less
+    got = E.link(spark.createDataFrame(list(enumerate(vecs.tolist())), "vec_id long, embedding array<double>")).collect()
+    assert sum(r.n_links for r in got) == links.sum()
+    assert all(r.n_links == links[r.vec_id].sum() and r.component_id == least[r.vec_id] for r in got)
+
+
 def test_odd_and_empty_tables(spark):
     vecs = [None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [1.0, 2.0], [2.0, 4.0], [1.0, 2.0], [1.0, 2.0, 3.0], [1.0, 2.0, 3.0], [-1.0, -2.0], [3.0, 1.0], [1.0, 2.0]]
     ids = [*range(13), None]
