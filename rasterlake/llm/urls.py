@@ -1,9 +1,9 @@
 """URL filters: rules by host suffix and path prefix, and gradient-boosted trees for the rest.
 
 The trees see lexical features only: lengths, depth, digit ratio, entropy, parameter counts,
-hyphens, and how often labelled URLs of the same suffix were bad.  They are grown on the driver
-from a bounded sample of labelled URLs and become one column expression, so that scoring needs
-no shuffle and no Python.
+hyphens, and how often labelled URLs of the same suffix were bad, counted over all of them and
+joined.  They are grown on the driver from a bounded sample of distinct labelled URLs and become
+one column expression, so that scoring needs no Python.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: A host that has one of these words between its dots and hyphens counts as labelled bad.
@@ -87,15 +89,16 @@ class Trees:
     base: float = 0.0
     trees: list = field(default_factory=list)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        p = (y.sum() + 0.5) / (len(y) + 1)
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Trees:
+        bad, total = (weight * y).sum(), weight.sum()
+        p = (bad + 0.5) / (total + 1)
         self.base = float(np.log(p / (1 - p)))
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) if len(np.unique(c)) > self.bins else (np.unique(c)[1:] + np.unique(c)[:-1]) / 2 for c in x.T]
         binned = np.stack([np.searchsorted(c, v, side="right") for c, v in zip(cuts, x.T)], 1) if len(y) else np.zeros((0, x.shape[1]), int)
         f = np.full(len(y), self.base)
-        for _ in range(self.rounds if 0 < y.sum() < len(y) else 0):
+        for _ in range(self.rounds if 0 < bad < total else 0):
             q = 1 / (1 + np.exp(-f))
-            g, h = y - q, q * (1 - q)
+            g, h = weight * (y - q), weight * q * (1 - q)
 
             def grow(rows: np.ndarray, depth: int):
                 leaf = self.rate * g[rows].sum() / (h[rows].sum() + 1)
@@ -135,23 +138,34 @@ def labelled(urls: DataFrame, url_col: str = "url", words: Sequence[str] = BAD_W
     return urls.select(F.col(url_col).alias("url"), F.arrays_overlap(F.split(host, "[.-]"), F.array(*[F.lit(w) for w in words])).cast("int").alias("label")).filter("url is not null")
 
 
-def fit(labels: DataFrame, sample: int = SAMPLE, seed: int = 4, **options) -> tuple[Trees, list[dict[str, float]], float]:
-    """Learn from (url, label) rows, `sample` of them at most, by a hash of the URL: trees, rates by suffix, base rate.
+def fit(labels: DataFrame, sample: int = SAMPLE, seed: int = 4, **options) -> tuple[Trees, list[DataFrame], float]:
+    """Learn from (url, label) rows: trees, tables of rows and bad rows by suffix, base rate.
 
-    Rates are of the last label of a host and of the last two; in learning, a URL's own label
-    does not count towards them.
+    Suffixes are the last label of a host and the last two; all rows count.  Trees are grown from
+    `sample` distinct URLs at most, by a hash of the URL, half of them bad where there are enough;
+    one weighs as many rows as it stands for.  In learning, a URL's own labels do not count
+    towards the rates of its suffixes.
     """
     host = host_of(F.col("url"))
-    rows = labels.orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(sample).select(*[c.alias(k) for k, c in lexical(F.col("url")).items()], _suffix(host, 1).alias("s1"), _suffix(host, 2).alias("s2"), F.col("label").cast("double").alias("y")).toPandas()
-    y = rows["y"].to_numpy()
-    mean = float((y.sum() + 1) / (len(y) + 2))
-    rates, x = [], [rows[k].to_numpy(float) for k in FEATURES[:-2]]
-    for col in ("s1", "s2"):
-        by = rows.groupby(col)["y"].agg(["sum", "count"])
-        s, n = rows[col].map(by["sum"]).to_numpy(float), rows[col].map(by["count"]).to_numpy(float)
-        x.append((s - y + SMOOTH * mean) / (n - 1 + SMOOTH))
-        rates.append({k: float((r["sum"] + SMOOTH * mean) / (r["count"] + SMOOTH)) for k, r in by[by["count"] > 1].iterrows()})
-    return Trees(**options).fit(np.stack(x, 1) if len(y) else np.zeros((0, len(FEATURES))), y), rates, mean
+    rows = labels.filter("url is not null and label is not null").groupBy("url").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("bad"))
+    rows = materialize(rows.select("*", _suffix(host, 1).alias("s1"), _suffix(host, 2).alias("s2")), "urls")
+    by = [materialize(rows.groupBy(s).agg(F.sum("n").alias(f"{s}_n"), F.sum("bad").alias(f"{s}_bad")), "suffixes") for s in ("s1", "s2")]
+    totals = {r.is_bad: r for r in rows.groupBy((F.col("bad") > 0).alias("is_bad")).agg(F.count("*").alias("urls"), F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()}
+    mean = float((sum(r.bad for r in totals.values()) + 1) / (sum(r.n for r in totals.values()) + 2))
+    most = {k: totals[k].urls if k in totals else 0 for k in (True, False)}
+    most[True] = min(most[True], max(sample // 2, sample - most[False]))
+    most[False] = min(most[False], sample - most[True])
+    parts = [rows.filter((F.col("bad") > 0) == F.lit(k)).orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(n) for k, n in most.items()]
+    some = parts[0].unionByName(parts[1]).join(by[0], "s1").join(by[1], "s2").orderBy("url")
+    some = some.select("n", "bad", "s1_n", "s1_bad", "s2_n", "s2_bad", *[c.alias(k) for k, c in lexical(F.col("url")).items()]).toPandas()
+    n, bad = some["n"].to_numpy(float), some["bad"].to_numpy(float)
+    x = [some[k].to_numpy(float) for k in FEATURES[:-2]]
+    x += [(some[f"{s}_bad"].to_numpy(float) - bad + SMOOTH * mean) / (some[f"{s}_n"].to_numpy(float) - n + SMOOTH) for s in ("s1", "s2")]
+    weight = n.copy()
+    for k, own in ((True, bad > 0), (False, bad == 0)):
+        if own.any():
+            weight[own] *= totals[k].n / n[own].sum()
+    return Trees(**options).fit(np.stack(x, 1), bad / np.maximum(n, 1), weight), by, mean
 
 
 def judge(urls: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
@@ -162,13 +176,11 @@ def judge(urls: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, st
     other.  Without labels of both kinds the score is the base rate.  Rows that repeat are
     judged each.  Of an empty table the result is empty.  Other columns are not looked at.
     """
-    trees, rates, mean = fit(labels)
-    spark = urls.sparkSession
+    trees, by, mean = fit(labels)
     rows = urls.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    for k, (name, table) in enumerate(zip(FEATURES[-2:], rates)):
-        known = spark.createDataFrame(list(table.items()) or [("", mean)], f"_s{k} string, {name} double")
-        # as many rows as the sample of labels has suffixes, SAMPLE at most
-        rows = rows.join(F.broadcast(known), _suffix(F.col("host"), k + 1) == F.col(f"_s{k}"), "left").drop(f"_s{k}").withColumn(name, F.coalesce(name, F.lit(mean)))
+    for k, (name, known) in enumerate(zip(FEATURES[-2:], by), 1):
+        rate = (F.coalesce(f"s{k}_bad", F.lit(0)) + SMOOTH * mean) / (F.coalesce(f"s{k}_n", F.lit(0)) + SMOOTH)
+        rows = rows.withColumn(f"s{k}", _suffix(F.col("host"), k)).join(known, f"s{k}", "left").withColumn(name, rate).drop(f"s{k}", f"s{k}_n", f"s{k}_bad")
     rows = rows.select("*", *[c.alias(k) for k, c in lexical(F.col("url")).items()])
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", trees.column([F.col(k) for k in FEATURES]))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))

@@ -45,3 +45,18 @@ def test_held_out_urls(spark):
     assert bad and sum(bad) / len(bad) > 0.95
     good = [r.verdict == "allow" for r in rows if not r.label]
     assert sum(good) / len(good) > 0.99
+
+
+def test_one_url_with_most_rows_leaves_the_others_their_labels(spark):
+    urls = [f"http://{'casino.deal' if i % 2 else 'www.site'}{i % 40}.info/p{i}" for i in range(1000)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    often = df.orderBy(F.xxhash64("url", F.lit(4)), "url").first().url
+    many = df.unionByName(spark.range(U.SAMPLE).select((F.col("id") + 1000).alias("page_id"), F.lit(often).alias("url")))
+    got = U.judge(df, U.labelled(many), rules=()).collect()
+    assert len(got) == 1000 and all((r.verdict == "block") == ("casino" in r.host) for r in got)
+    # every row counts for its suffix
+    hosts = [parts(r.url)[0] for r in many.collect()]
+    count = {r.s2: (r.s2_n, r.s2_bad) for r in U.fit(U.labelled(many))[1][1].collect()}
+    domains = [h.split(".", 1)[1] for h in hosts]
+    bad = [d for h, d in zip(hosts, domains) if "casino" in h]
+    assert count == {d: (domains.count(d), bad.count(d)) for d in set(domains)}
