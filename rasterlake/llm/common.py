@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_path_of: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (single-machine tests) a temporary folder is made.
+    Where that is unset, a session on one machine (local[...]) makes a temporary folder; on a
+    cluster no folder would be shared, so RuntimeError is raised.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="corpus-")
@@ -35,8 +41,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    keep_until_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[id(out)] = (out, path)
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that materialize() returned, once nothing will read it again."""
+    found = _path_of.pop(id(table), None)
+    if found:
+        _drop(table.sparkSession, found[1])
+
+
+def keep_until_exit(spark: SparkSession, path: str) -> None:
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -46,6 +65,11 @@ def _drop(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def open_folder(uri: str):
+    """A file system for Python code, and the folder's path in it; file, hdfs, s3, gs and abfs URIs."""
+    return fs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1) if uri.startswith("file:") else f"file://{uri}")
+
+
 def text_of(name: str = "text") -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

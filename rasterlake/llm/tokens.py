@@ -3,13 +3,15 @@
 One frequency table, counted over all documents, serves every file.  A file has blocks of up to
 BLOCK ids that decode on their own; within a block, LANES coders take turns (id i belongs to
 coder i mod lanes), so that numpy works on all of them at once.  Blocks hold checkpoints, the
-coders' states and place in the stream at some step, from which decoding can start midway, and
-a checksum of their ids.
-
-File layout, little-endian: magic, u32 table checksum, u32 documents, u64 ids, u32 blocks, u32
-bytes of the directory; the directory (zlib: i64 document ids, u8 id-is-null, u32 ids of each);
-blocks.  Block: u32 ids, u32 lanes, u32 words, u32 checkpoints, u32 crc32 of the ids (u32
-each); first states (u64 each); checkpoints (u32 step, u32 words before it, states); words (u32).
+coders' states and place in the stream at every EVERY-th step; the stretches between them are
+decoded side by side, as so many more lanes.  Each block has a checksum of its ids.
+
+File layout, little-endian: magic, u32 table checksum, u32 part, u64 ids of the part before this
+file, u32 documents, u64 ids, u32 blocks, u32 bytes of the directory; the directory (zlib: i64
+document ids, u8 id-is-null, u32 ids of each); blocks.  Block: u32 ids, u32 lanes, u32 words,
+u32 checkpoints, u32 crc32 of the ids (u32 each); first states (u64 each); checkpoints (u32
+step, u32 words before it, states); words (u32).  A part is a range of document ids; its files
+are in order of their names.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ import json
 import os
 import re
 import struct
-import unicodedata
+import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 from pathlib import Path
@@ -27,16 +30,17 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, text_of
+from .common import batches, drop, keep_until_exit, materialize, open_folder, shared_dir, text_of
 
 BITS = 20  # of the frequency table's sum
-BLOCK, LANES, EVERY = 1 << 18, 1024, 128
+BLOCK, LANES, EVERY = 1 << 20, 2048, 128
 LOW = 1 << 31  # states are in LOW .. LOW << 32
-MAGIC = b"IDANS1\0\0"
-WORDS_KEPT = 2_000_000  # words of a worker's cache, some 500 MB
+MAGIC = b"IDANS2\0\0"
+_HEAD = "<2IQIQ2I"
+PIECES_KEPT = 600_000  # pieces of a worker's cache, some 120 MB
 
 
 class Table:
@@ -84,157 +88,102 @@ def _encode_block(ids: np.ndarray, t: Table) -> bytes:
     return b"".join([*out, *[w.tobytes() for w in words]])
 
 
+def _step(x: np.ndarray, t: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids that states hold, the states without them, and which of those need a word."""
+    slot = x & np.uint64((1 << BITS) - 1)
+    sym = t.id_of[slot]
+    y = t.freq[sym] * (x >> np.uint64(BITS)) + slot - t.start[sym]
+    return sym, y, y < LOW
+
+
 def decode_block(data: bytes, t: Table, at: int = 0, from_step: int = 0) -> tuple[np.ndarray, int]:
     """The ids of the block at a byte offset, and the offset after it.
 
-    With from_step, which must be a checkpoint's, only the ids from that step on.
-    Raises ValueError if the ids don't have the block's checksum.
+    Stretches between checkpoints decode side by side.  With from_step, which must be a
+    checkpoint's, only the ids from that step on.  Raises ValueError if the ids don't have the
+    block's checksum.
     """
     n, lanes, n_words, n_marks, crc = struct.unpack_from("<5I", data, at)
     at += 20
-    x = np.frombuffer(data, "<u8", lanes, at).astype(np.uint64)
+    steps, words, states = [0], [0], [np.frombuffer(data, "<u8", lanes, at)]
     at += 8 * lanes
-    word = 0
     for _ in range(n_marks):
         step, before = struct.unpack_from("<2I", data, at)
-        if step == from_step:
-            x, word = np.frombuffer(data, "<u8", lanes, at + 8).astype(np.uint64), before
+        steps.append(step)
+        words.append(before)
+        states.append(np.frombuffer(data, "<u8", lanes, at + 8))
         at += 8 + 8 * lanes
-    words = np.frombuffer(data, "<u4", n_words, at).astype(np.uint64)
-    mask, bits, half = np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(32)
-    out = np.empty(n - from_step * lanes, dtype=np.uint32)
-    for lo in range(from_step * lanes, n, lanes):
+    stream = np.append(np.frombuffer(data, "<u4", n_words, at).astype(np.uint64), np.uint64(0))
+    first = steps.index(from_step)
+    base, half = from_step * lanes, np.uint64(32)
+    out = np.empty(n - base, dtype=np.uint32)
+    # whole stretches together: row k of x is the state of the coders in stretch first + k
+    many = len(steps) - 1 - first
+    if many:
+        x, word = np.stack(states[first:-1]).astype(np.uint64), np.array(words[first:-1], np.int64)
+        shaped = out[: many * EVERY * lanes].reshape(many, EVERY, lanes)
+        for k in range(EVERY):
+            shaped[:, k], x, need = _step(x, t)
+            place = np.cumsum(need, 1)
+            fill = stream[np.minimum(word[:, None] + place - 1, n_words)]
+            x = np.where(need, (x << half) | fill, x)
+            word += place[:, -1]
+    x, word = states[-1].astype(np.uint64), words[-1]
+    for lo in range(steps[-1] * lanes, n, lanes):
         m = min(lanes, n - lo)
-        y = x[:m]
-        slot = y & mask
-        sym = t.id_of[slot]
-        y = t.freq[sym] * (y >> bits) + slot - t.start[sym]
-        need = np.flatnonzero(y < LOW)
-        y[need] = (y[need] << half) | words[word : word + len(need)]
-        word += len(need)
+        out[lo - base : lo - base + m], y, need = _step(x[:m], t)
+        count = int(need.sum())
+        y[need] = (y[need] << half) | stream[word : word + count]
+        word += count
         x[:m] = y
-        out[lo - from_step * lanes : lo - from_step * lanes + m] = sym
     if from_step == 0 and zlib.crc32(out.astype("<u4").tobytes()) != crc:
         raise ValueError("a block's checksum differs")
     return out, at + 4 * n_words
 
 
-def encode_file(doc_ids: list, ids: list[np.ndarray], t: Table) -> bytes:
+def encode_file(doc_ids: list, ids: list[np.ndarray], t: Table, part: int = 0, before: int = 0) -> bytes:
     """One file of documents in order; doc_ids may hold None."""
     flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     head = b"".join([np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids), np.array([len(x) for x in ids], "<u4").tobytes()])
     head = zlib.compress(head, 1)
     blocks = [_encode_block(flat[i : i + BLOCK], t) for i in range(0, len(flat), BLOCK)]
-    return b"".join([MAGIC, struct.pack("<2IQ2I", t.crc, len(doc_ids), len(flat), len(blocks), len(head)), head, *blocks])
+    return b"".join([MAGIC, struct.pack(_HEAD, t.crc, part, before, len(doc_ids), len(flat), len(blocks), len(head)), head, *blocks])
 
 
-def decode_file(data: bytes, t: Table) -> tuple[list, np.ndarray, np.ndarray]:
-    """Document ids, each one's number of ids, and all ids.  Raises ValueError for another table's file."""
-    crc, docs, n, blocks, size = struct.unpack_from("<2IQ2I", data, 8)
+def decode_file(data: bytes, t: Table) -> tuple[list, np.ndarray, np.ndarray, int, int]:
+    """Document ids, each one's number of ids, all ids, the part, and ids of the part before.  Raises ValueError for another table's file."""
+    crc, part, before, docs, n, blocks, size = struct.unpack_from(_HEAD, data, 8)
     if data[:8] != MAGIC or crc != t.crc:
         raise ValueError("not a file of this table")
-    at = 8 + struct.calcsize("<2IQ2I")
+    at = 8 + struct.calcsize(_HEAD)
     head = zlib.decompress(data[at : at + size])
     at += size
     doc_ids = [None if gone else int(d) for d, gone in zip(np.frombuffer(head, "<i8", docs), head[8 * docs : 9 * docs])]
     parts = []
     for _ in range(blocks):
-        part, at = decode_block(data, t, at)
-        parts.append(part)
+        own, at = decode_block(data, t, at)
+        parts.append(own)
     flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
     if len(flat) != n:
         raise ValueError("a file's ids are not all there")
-    return doc_ids, np.frombuffer(head, "<u4", docs, 9 * docs), flat
-
+    return doc_ids, np.frombuffer(head, "<u4", docs, 9 * docs), flat, part, before
 
-_plain = re.compile("[\x1c-\x1f]")  # str.split() takes these for space, the tokenizer doesn't
-_ascii_space = re.compile("[ \t\n\r\x0b\x0c]+")
-_cached: dict[str, tuple] = {}
 
-_letters = re.compile(r"([^\W\d_A-Z]+)([.,;:!?]*)")
+_cached: dict[str, Encoder] = {}
+# The pattern by which the default tokenizer splits texts, and the same for Python's
+# re over the characters of _KNOWN.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_KNOWN = "\t\n\r" + "".join(chr(c) for a, z in ((32, 126), (0xA1, 0xAC), (0xAE, 0xB1), (0xB4, 0xB8), (0xBA, 0xBB), (0xBF, 0x12F), (0x131, 0x24F), (0x2010, 0x2027), (0x20AC, 0x20AC)) for c in range(a, z + 1))
 
 
-class Merges:
-    """Byte-level pair merging of many words at once: in each, the pair of least rank, the first of equal ones, until none is left."""
-
-    LONGEST = 40  # bytes; longer words are merged one by one
-
-    def __init__(self, path: str):
-        model = json.loads(Path(path).read_text())["model"]
-        vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
-        # printable bytes stand for themselves, the others for characters from 256 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        chars = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}
-        self.inner = np.array([vocab.get(chars[b], -1) for b in range(256)])
-        self.last = np.array([vocab.get(chars[b] + end, -1) for b in range(256)])
-        pairs = [p.split(" ") if isinstance(p, str) else p for p in model["merges"]]
-        self.size = max(vocab.values()) + 1
-        keys = np.array([vocab[x] * self.size + vocab[y] for x, y in pairs])
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
-        self.made = np.array([vocab[x + y] for x, y in pairs])
-
-    def rank(self, a: np.ndarray, z: np.ndarray) -> np.ndarray:
-        key = a.astype(np.int64) * self.size + z
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (z >= 0), self.order[at], np.int32(1 << 30)).astype(np.int32)
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        raw = [w.encode() for w in words]
-        out: list[bytes] = [b""] * len(words)
-        sizes = np.array([len(r) for r in raw], int)
-        order = np.argsort(sizes, kind="stable")
-        for lo in range(0, len(order), 4096):
-            self._batch(order[lo : lo + 4096], raw, sizes, out)
-        return out
+class Encoder:
+    """Ids of whole texts by a tokenizer of the tokenizers library.
 
-    def _batch(self, rows: np.ndarray, raw: list[bytes], sizes: np.ndarray, out: list[bytes]) -> None:
-        rows = rows[sizes[rows] > 0]
-        if not len(rows):
-            return
-        width = int(sizes[rows].max())
-        if width > self.LONGEST and len(rows) > 1:
-            for r in rows:
-                self._batch(np.array([r]), raw, sizes, out)
-            return
-        n = sizes[rows]
-        flat = np.frombuffer(b"".join(raw[r].ljust(width, b"\0") for r in rows), np.uint8).reshape(len(rows), width)
-        s = np.where(np.arange(width)[None] < n[:, None], self.inner[flat], -1)
-        s[np.arange(len(rows)), n - 1] = self.last[flat[np.arange(len(rows)), n - 1]]
-        s = np.concatenate([s, np.full((len(rows), 1), -1)], 1).astype(np.int32)
-        r = self.rank(s[:, :-1], s[:, 1:])
-        while True:
-            at = r.argmin(1)
-            best = r[np.arange(len(rows)), at]
-            done = best == 1 << 30
-            if done.any():
-                own = s[done]
-                some = own >= 0
-                data, ends = own[some].astype("<u4").tobytes(), (4 * np.cumsum(some.sum(1))).tolist()
-                for k, x, z in zip(rows[done].tolist(), [0, *ends], ends):
-                    out[k] = data[x:z]
-                go = ~done
-                rows, s, r, at, best = rows[go], s[go], r[go], at[go], best[go]
-                if not len(rows):
-                    return
-            here = np.arange(len(rows))
-            cols = np.arange(s.shape[1])[None]
-            s = np.take_along_axis(s, np.minimum(cols + (cols > at[:, None]), s.shape[1] - 1), 1)
-            s[here, at] = self.made[best]
-            s[:, -1] = -1
-            cols = cols[:, :-1]
-            r = np.take_along_axis(r, np.minimum(cols + (cols > at[:, None]), r.shape[1] - 1), 1)
-            r[:, -1] = 1 << 30
-            r[here, at] = self.rank(s[here, at], s[here, np.minimum(at + 1, s.shape[1] - 1)])
-            prev = np.flatnonzero(at > 0)
-            r[prev, at[prev] - 1] = self.rank(s[prev, at[prev] - 1], s[prev, at[prev]])
-
-
-class WordEncoder:
-    """Ids of texts by a tokenizer of the tokenizers library whose tokens never span white space.
-
-    Texts are split at white space and each new word is given to the library once; its ids are
-    kept while the worker lives, the first (mostly frequent) ones when the cache is full.
+    The library's own splitting of texts takes most of its time, and the pieces recur.  So texts
+    whose characters are all in _KNOWN are split by the tokenizer's pattern in Python's re, and
+    the library's model encodes each new piece; its ids are kept while the worker lives.  All
+    other texts, and all texts of a tokenizer that splits otherwise, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -243,56 +192,56 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.ids: dict[str, bytes] = {}
-        probe = ["Abz", "abz", "aBZ"]  # is case folded, and a word of letters one piece?
-        self.merges = None
-        self.lower = len({tuple(self.tok.encode(w, add_special_tokens=False).ids) for w in probe} | {tuple(t.id for t in self.tok.model.tokenize("abz"))}) == 1
-
-        if self.lower and not self.tok.model.byte_fallback:
-            self.merges = Merges(path)
-            some = ["the", "anblewh", "straße", "menteasja", "éêtionvi", "a", "日本語", "zzzzqqq"]
-            if [*self.merges.encode(some)] != [np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in some]:
-                self.merges = None  # another kind of tokenizer: all words go to the library
+        spec = json.loads(Path(path).read_text())
+        self.added = [a["content"].lower() for a in spec.get("added_tokens", [])]
+        # printable bytes stand for themselves, the others for characters from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.chars = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in plain)}
+        self.known = re.compile(f"[{re.escape(_KNOWN)}]*") if self._splits(spec) else None
 
     @classmethod
-    def of(cls, path: str) -> WordEncoder:
+    def of(cls, path: str) -> Encoder:
         if path not in _cached:
             _cached[path] = cls(path)
         return _cached[path]
 
-    def _learn(self, new: set[str]) -> None:
-        """Ids of new words.  Small letters with marks after them are two pieces; letters go to Merges, the rest to the library."""
-        cut = {}
-        if self.merges is not None:
-            for w in new:
-                m = _letters.fullmatch(w)
-                if m and (w.isascii() or m[1].isalpha() and m[1] == m[1].lower() and unicodedata.is_normalized("NFC", m[1])):
-                    cut[w] = m[1], m[2]
-            base = list({x for x, _ in cut.values()}.difference(self.ids))
-            self.ids.update(zip(base, self.merges.encode(base)))
-        rest = [w for w in new.difference(cut) | {m for _, m in cut.values() if m} if w not in self.ids]
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (x, m) in cut.items():
-            if m:
-                self.ids[w] = self.ids[x] + self.ids[m]
+    def _splits(self, spec: dict) -> bool:
+        """Does the tokenizer do what _PIECE does, for every character of _KNOWN beside letters, digits and marks?"""
+        pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        if pre[0].get("pattern") != {"Regex": _SPLIT} or spec["model"]["type"] != "BPE" or spec.get("post_processor"):
+            return False
+        probe = [f"a{c}b {c}{c} 1{c}2 .{c}, '{c}" for c in _KNOWN]
+        return all(got.tokens == [t.value for w in _PIECE.findall(x.lower()) for t in self.tok.model.tokenize(self._mapped(w))] for x, got in zip(probe, self.tok.encode_batch(probe, add_special_tokens=False)))
+
+    def _mapped(self, piece: str) -> str:
+        return piece if piece.isascii() else "".join(map(self.chars.__getitem__, piece.encode()))
 
     def encode(self, texts: list[str], last: int | None = None) -> list[np.ndarray]:
         end = b"" if last is None else struct.pack("<I", last)
-        if len(self.ids) > WORDS_KEPT:
-            self.ids = dict(islice(self.ids.items(), WORDS_KEPT // 4))
-        # ASCII texts are lower-cased at once, which saves words; the names of special tokens keep their case
-        texts = [x.lower() if self.lower and x.isascii() and "<|" not in x else x for x in texts]
-        words = [_ascii_space.split(x) if _plain.search(x) else x.split() for x in texts]
-        get = self.ids.get
-        parts = [list(map(get, w)) for w in words]
-        some = [i for i, p in enumerate(parts) if None in p]
-        new = {w for i in some for w, p in zip(words[i], parts[i]) if p is None}
-        self._learn(new)
-        for i in some:
-            parts[i] = map(self.ids.__getitem__, words[i])
-        return [np.frombuffer(b"".join(p) + end, "<u4") for p in parts]
+        if len(self.ids) > PIECES_KEPT:
+            self.ids = dict(islice(self.ids.items(), PIECES_KEPT // 4))
+        ids, get, tokenize = self.ids, self.ids.get, self.tok.model.tokenize
+        out: list = []
+        for text in texts:
+            low = text.lower() if self.known is not None and self.known.fullmatch(text) else None
+            if low is None or any(a in low for a in self.added):
+                out.append(None)
+                continue
+            pieces = _PIECE.findall(low)
+            got = list(map(get, pieces))
+            if None in got:
+                for k, x in enumerate(got):
+                    if x is None:
+                        w = pieces[k]
+                        got[k] = get(w)
+                        if got[k] is None:
+                            got[k] = ids[w] = array("I", [t.id for t in tokenize(self._mapped(w))]).tobytes()
+            got.append(end)
+            out.append(np.frombuffer(b"".join(got), "<u4"))
+        other = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(other, self.tok.encode_batch_fast([texts[i] for i in other], add_special_tokens=False)):
+            out[i] = np.frombuffer(np.array(e.ids, "<u4").tobytes() + end, "<u4")
+        return out
 
 
 def default_tokenizer() -> str:
@@ -321,25 +270,28 @@ def _zstd() -> pa.Codec:
     return pa.Codec("zstd", compression_level=1)
 
 
-PARTS = "part int, chunk int, n_ids long, docs array<long>, sizes array<int>, wide boolean, ids binary"
+PARTS = "part int, chunk int, n_ids long, before long, docs array<long>, sizes array<int>, wide boolean, ids binary, counts binary"
 
 
-def write_ids(docs: DataFrame, path: str, last: int, id_col: str = "doc_id", text_col: str = "text", ids_a_file: int = 1 << 20) -> DataFrame:
+def write_ids(docs: DataFrame, path: str, last: int, size: int, id_col: str = "doc_id", text_col: str = "text", ids_a_file: int = 1 << 20) -> DataFrame:
     """The ids of all documents in ascending order of id, in pieces of at least `ids_a_file` ids (but for the last of a part).
 
-    part and chunk give the order of the pieces, which are rows of a table in the shared folder.
-    Rows are range-partitioned by id, then by a hash of the text, so equal ids spread too.
+    part and chunk give the order of the pieces, which are rows of a table in the shared folder;
+    before: ids of the part before the piece.  counts (of the last piece of a part): how often
+    each of `size` ids occurs in the part.  Rows are range-partitioned by id, then by a hash
+    of the text, so equal ids spread too.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        coder, part, chunk = WordEncoder.of(path), TaskContext.get().partitionId(), 0
-        names, ids, held = [], [], 0
+        coder, part, chunk = Encoder.of(path), TaskContext.get().partitionId(), 0
+        names, ids, held, before, counts = [], [], 0, 0, np.zeros(size, np.int64)
 
-        def flush():
-            flat = np.concatenate(ids)
+        def flush(end: bool):
+            flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+            counts.__iadd__(np.bincount(flat, minlength=size))
             wide = bool(len(flat) and flat.max() > 0xFFFF)
-            columns = [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([held], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32())), pa.array([wide]), pa.array([_pack(flat)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "chunk", "n_ids", "docs", "sizes", "wide", "ids"])
+            columns = [pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([held], pa.int64()), pa.array([before], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([[len(x) for x in ids]], pa.list_(pa.int32())), pa.array([wide]), pa.array([_pack(flat)], pa.binary()), pa.array([zlib.compress(counts.tobytes(), 1) if end else None], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PARTS.split(", ")])
 
         for b in batches(it):
             for d, x in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist(), last)):
@@ -347,14 +299,16 @@ def write_ids(docs: DataFrame, path: str, last: int, id_col: str = "doc_id", tex
                 ids.append(x)
                 held += len(x)
                 if held >= ids_a_file:
-                    yield flush()
-                    names, ids, held, chunk = [], [], 0, chunk + 1
-        if names:
-            yield flush()
+                    yield flush(False)
+                    names, ids, held, before, chunk = [], [], 0, before + held, chunk + 1
+        if names or chunk:
+            yield flush(True)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    return materialize(rows.repartitionByRange(*order).sortWithinPartitions("doc_id").mapInArrow(run, PARTS), "ids")
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    # as many partitions as shuffles have: AQE would not split those that repeat an id
+    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "hash").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash")
+    return materialize(ordered.select("doc_id", "text").mapInArrow(run, PARTS), "ids")
 
 
 def count_ids(parts: DataFrame, size: int) -> np.ndarray:
@@ -363,64 +317,90 @@ def count_ids(parts: DataFrame, size: int) -> np.ndarray:
     def count(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         n = np.zeros(size, dtype=np.int64)
         for b in it:
-            for total, wide, data in zip(*[b.column(i).to_pylist() for i in range(3)]):
-                n += np.bincount(_unpack(data, total, wide), minlength=size)
+            for data in b.column(0).to_pylist():
+                n += np.frombuffer(zlib.decompress(data), np.int64)
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], names=["id", "n"])
 
-    rows = parts.select("n_ids", "wide", "ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = parts.filter("counts is not null").select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, dtype=np.int64)
     for r in rows:
         out[r.id] = r.n
     return out
 
 
-def write_files(parts: DataFrame, table: Table) -> DataFrame:
-    """Each piece of write_ids as a file: part, chunk, n_ids, data, a table in the shared folder."""
+def write_files(parts: DataFrame, table: Table, folder: str) -> DataFrame:
+    """Each piece of write_ids as a file in `folder`, which all executors reach: part, n_ids, path.
+
+    A file is written under another name and moved, so a task that is tried again, or twice at
+    once, leaves the same file.
+    """
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        fs, root = open_folder(folder)
         for b in it:
             for k in range(b.num_rows):
-                _, _, total, names, sizes, wide, data = [c[k].as_py() for c in b.columns]
-                ids = np.split(_unpack(data, total, wide), np.cumsum(sizes)[:-1])
-                file = pa.array([encode_file(names, ids, table)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[c.slice(k, 1) for c in b.columns[:3]], file], names=["part", "chunk", "n_ids", "data"])
+                part, chunk, total, before, names, sizes, wide, data, _ = [c[k].as_py() for c in b.columns]
+                ids = np.split(_unpack(data, total, wide), np.cumsum(sizes)[:-1]) if sizes else []
+                name = f"part-{part:06d}-{chunk:06d}.ids"
+                new = f"{root}/_{name}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(new) as f:
+                    f.write(encode_file(names, ids, table, part, before))
+                fs.move(new, f"{root}/{name}")
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(2).slice(k, 1), pa.array([name])], names=["part", "n_ids", "path"])
 
-    return materialize(parts.mapInArrow(encode, "part int, chunk int, n_ids long, data binary"), "files")
+    return materialize(parts.mapInArrow(encode, "part int, n_ids long, path string"), "files")
 
 
-def read_files(files: DataFrame, table: Table) -> DataFrame:
-    """Decode files and place each document: doc_id, start, n_tokens, ids_crc32."""
+def read_files(spark: SparkSession, folder: str, table: Table, manifest: DataFrame) -> DataFrame:
+    """Decode the files of a folder and place each document: doc_id, start, n_tokens, ids_crc32.
+
+    manifest is what write_files returned; it has the ids of each part, and there are as many
+    parts as a shuffle has partitions, so where parts begin is broadcast.  Raises ValueError, in
+    the job, for a file that isn't whole.
+    """
+    part = manifest.groupBy("part").agg(F.sum("n_ids").alias("in_part"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select("part", F.coalesce(F.sum("in_part").over(order), F.lit(0)).alias("at"))
 
     def decode(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in it:
-            for first, data in zip(b.column(0).to_pylist(), b.column(1)):
-                names, sizes, flat = decode_file(data.as_py(), table)
+            for data in b.column(0):
+                names, sizes, flat, own, before = decode_file(data.as_py(), table)
                 ends = np.cumsum(sizes, dtype=np.int64)
                 starts = ends - sizes
                 raw = memoryview(flat.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(starts + first), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), own, np.int32)), pa.array(names, pa.int64()), pa.array(starts + before), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "doc_id", "after", "n_tokens", "ids_crc32"])
 
-    # ids before a file: those of the parts before its own, and of its part's chunks before it
-    part = files.groupBy("part").agg(F.sum("n_ids").alias("in_part"))
-    part = part.select(F.col("part").alias("p"), F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    small = files.select("part", "chunk", "n_ids").join(part, F.col("part") == F.col("p"))
-    inner = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = small.select(F.col("part").alias("p"), F.col("chunk").alias("c"), (F.col("before") + inner).alias("first"))
-    rows = files.join(at, (F.col("part") == F.col("p")) & (F.col("chunk") == F.col("c"))).select("first", "data")
-    return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(folder).select("content")
+    rows = files.mapInArrow(decode, "part int, doc_id long, after long, n_tokens long, ids_crc32 long")
+    return rows.join(F.broadcast(part), "part").select("doc_id", (F.col("at") + F.col("after")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def write(docs: DataFrame, folder: str, path: str | None = None, last: int = 1, id_col: str = "doc_id", text_col: str = "text") -> tuple[Table, DataFrame]:
+    """Tokenize docs and write them as files in `folder`: the frequency table and the manifest (part, n_ids, path)."""
+    path = path or default_tokenizer()
+    size = max(_vocabulary(path), last + 1)
+    parts = write_ids(docs, path, last, size, id_col, text_col)
+    table = Table(count_ids(parts, size))
+    fs, root = open_folder(folder)
+    fs.create_dir(root, recursive=True)
+    files = write_files(parts, table, folder)
+    drop(parts)
+    return table, files
 
 
 def tokenize(docs: DataFrame, path: str | None = None, last: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenize, write in id order, read back: doc_id, start, n_tokens (with the end id), ids_crc32.
 
     A null text is empty and has the end id alone.  Null ids come first.  Rows with equal ids
-    are neighbours in the order of their texts' hashes.  Of an empty table the result is empty.
-    Other columns are not looked at.  The tokenizer must drop white space.
+    are neighbours in the order of their texts' hashes, so reruns agree; a very long text is one
+    piece, encoded whole.  Rows that repeat are each written.  Of an empty table the result is
+    empty.  Other columns are not looked at.
     """
-    path = path or default_tokenizer()
-    size = max(_vocabulary(path), last + 1)
-    parts = write_ids(docs, path, last, id_col, text_col)
-    table = Table(count_ids(parts, size))
-    return read_files(write_files(parts, table), table)
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/files/tokens-{uuid.uuid4().hex}"
+    keep_until_exit(spark, folder)
+    table, files = write(docs, folder, path, last, id_col, text_col)
+    return read_files(spark, folder, table, files)
