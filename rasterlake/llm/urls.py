@@ -1,8 +1,9 @@
 """URL filters: rules by host suffix and path prefix, and gradient-boosted trees for the rest.
 
 The trees see lexical features only: lengths, depth, digit ratio, entropy, parameter counts,
-hyphens, and how often labelled URLs of the same suffix were bad, counted over all of them and
-joined.  They are grown on the driver from a bounded sample of distinct labelled URLs and become
+hyphens, and how often labelled URLs of the same suffix (the last label of the host) were bad,
+counted over all of them and joined.  No feature names a domain, so a verdict on a host rests on
+how its URLs look.  Trees are grown on the driver from a bounded sample of distinct labelled URLs and become
 one column expression, so that scoring needs no Python.
 """
 
@@ -19,10 +20,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: (verdict, host, path)
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: A host that has one of these words between its dots and hyphens counts as labelled bad.
 BAD_WORDS = ("ads", "adult", "bets", "betting", "casino", "clickbait", "loans", "malware", "phish", "pills", "porn", "poker", "spam", "tracker", "viagra", "warez", "xxx")
-FEATURES = ("url_length", "host_length", "path_length", "query_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "suffix_rate", "domain_rate")
+FEATURES = ("url_length", "host_length", "path_length", "query_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "entropy", "parameters", "suffix_rate")
 SAMPLE = 40_000
 SMOOTH = 20.0
 
@@ -47,10 +48,6 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return out
 
 
-def _suffix(host: Column, labels: int) -> Column:
-    return F.substring_index(host, ".", -labels)
-
-
 def lexical(url: Column) -> dict[str, Column]:
     """Features that need no statistics."""
     url = F.coalesce(url, F.lit(""))
@@ -138,29 +135,29 @@ def labelled(urls: DataFrame, url_col: str = "url", words: Sequence[str] = BAD_W
     return urls.select(F.col(url_col).alias("url"), F.arrays_overlap(F.split(host, "[.-]"), F.array(*[F.lit(w) for w in words])).cast("int").alias("label")).filter("url is not null")
 
 
-def fit(labels: DataFrame, sample: int = SAMPLE, seed: int = 4, **options) -> tuple[Trees, list[DataFrame], float]:
-    """Learn from (url, label) rows: trees, tables of rows and bad rows by suffix, base rate.
+def fit(labels: DataFrame, sample: int = SAMPLE, seed: int = 4, **options) -> tuple[Trees, DataFrame, float]:
+    """Learn from (url, label) rows: trees, table of rows and bad rows by suffix, base rate.
 
-    Suffixes are the last label of a host and the last two; all rows count.  Trees are grown from
+    The suffix is the last label of a host; all rows count, also for suffixes seen once.  Trees are grown from
     `sample` distinct URLs at most, by a hash of the URL, half of them bad where there are enough;
     one weighs as many rows as it stands for.  In learning, a URL's own labels do not count
-    towards the rates of its suffixes.
+    towards the rate of its suffix.
     """
     host = host_of(F.col("url"))
     rows = labels.filter("url is not null and label is not null").groupBy("url").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("bad"))
-    rows = materialize(rows.select("*", _suffix(host, 1).alias("s1"), _suffix(host, 2).alias("s2")), "urls")
-    by = [materialize(rows.groupBy(s).agg(F.sum("n").alias(f"{s}_n"), F.sum("bad").alias(f"{s}_bad")), "suffixes") for s in ("s1", "s2")]
+    rows = materialize(rows.select("*", F.substring_index(host, ".", -1).alias("suffix")), "urls")
+    by = materialize(rows.groupBy("suffix").agg(F.sum("n").alias("of_suffix"), F.sum("bad").alias("bad_of_suffix")), "suffixes")
     totals = {r.is_bad: r for r in rows.groupBy((F.col("bad") > 0).alias("is_bad")).agg(F.count("*").alias("urls"), F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect()}
     mean = float((sum(r.bad for r in totals.values()) + 1) / (sum(r.n for r in totals.values()) + 2))
     most = {k: totals[k].urls if k in totals else 0 for k in (True, False)}
     most[True] = min(most[True], max(sample // 2, sample - most[False]))
     most[False] = min(most[False], sample - most[True])
     parts = [rows.filter((F.col("bad") > 0) == F.lit(k)).orderBy(F.xxhash64("url", F.lit(seed)), "url").limit(n) for k, n in most.items()]
-    some = parts[0].unionByName(parts[1]).join(by[0], "s1").join(by[1], "s2").orderBy("url")
-    some = some.select("n", "bad", "s1_n", "s1_bad", "s2_n", "s2_bad", *[c.alias(k) for k, c in lexical(F.col("url")).items()]).toPandas()
+    some = parts[0].unionByName(parts[1]).join(by, "suffix").orderBy("url")
+    some = some.select("n", "bad", "of_suffix", "bad_of_suffix", *[c.alias(k) for k, c in lexical(F.col("url")).items()]).toPandas()
     n, bad = some["n"].to_numpy(float), some["bad"].to_numpy(float)
-    x = [some[k].to_numpy(float) for k in FEATURES[:-2]]
-    x += [(some[f"{s}_bad"].to_numpy(float) - bad + SMOOTH * mean) / (some[f"{s}_n"].to_numpy(float) - n + SMOOTH) for s in ("s1", "s2")]
+    x = [some[k].to_numpy(float) for k in FEATURES[:-1]]
+    x += [(some["bad_of_suffix"].to_numpy(float) - bad + SMOOTH * mean) / (some["of_suffix"].to_numpy(float) - n + SMOOTH)]
     weight = n.copy()
     for k, own in ((True, bad > 0), (False, bad == 0)):
         if own.any():
@@ -174,13 +171,12 @@ def judge(urls: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, st
     A rule's verdict stands; other URLs are blocked where the trees' score is `threshold` or
     more.  A null URL, or one without ://, has an empty host and path and is scored as any
     other.  Without labels of both kinds the score is the base rate.  Rows that repeat are
-    judged each.  Of an empty table the result is empty.  Other columns are not looked at.
+    judged each, and a very long URL whole.  Of an empty table the result is empty.  Other columns are not looked at.
     """
     trees, by, mean = fit(labels)
     rows = urls.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    for k, (name, known) in enumerate(zip(FEATURES[-2:], by), 1):
-        rate = (F.coalesce(f"s{k}_bad", F.lit(0)) + SMOOTH * mean) / (F.coalesce(f"s{k}_n", F.lit(0)) + SMOOTH)
-        rows = rows.withColumn(f"s{k}", _suffix(F.col("host"), k)).join(known, f"s{k}", "left").withColumn(name, rate).drop(f"s{k}", f"s{k}_n", f"s{k}_bad")
+    rate = (F.coalesce("bad_of_suffix", F.lit(0)) + SMOOTH * mean) / (F.coalesce("of_suffix", F.lit(0)) + SMOOTH)
+    rows = rows.withColumn("suffix", F.substring_index("host", ".", -1)).join(by, "suffix", "left").withColumn("suffix_rate", rate).drop("suffix", "of_suffix", "bad_of_suffix")
     rows = rows.select("*", *[c.alias(k) for k, c in lexical(F.col("url")).items()])
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("score", trees.column([F.col(k) for k in FEATURES]))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
