@@ -3,12 +3,16 @@
 A source's target of words is met by floor(target / size) copies of every document and, for
 the rest, a sample without replacement: each document has a ranking number, the odds of a
 random number over its inclusion odds, and the documents of least number are taken until the
-rest is filled.  Ranking numbers come from the md5 of the id, so reruns agree.
+rest is filled.  Inclusion odds are unequal: they grow with the square root of a document's
+words (long_odds), so that long documents, which hold more context, have the better chance.
+Ranking by random odds over inclusion odds needs the latter up to a factor only, which the
+place where the rest runs out settles.  Ranking numbers come from the md5 of the id, so reruns
+agree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +22,11 @@ from .common import materialize, text_of, unit_from_md5
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def long_odds(size: Column) -> Column:
+    """Inclusion odds of a document of so many words, up to a factor."""
+    return F.sqrt((size.cast("double") + 1) / 256)
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Words that each source should give: (source, source_size) -> source, source_size, target.
 
@@ -53,33 +62,36 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    odds: Column | None = None,
-    buckets: int = 1024,
+    odds: Callable[[Column], Column] = long_odds,
+    row_col: str | None = None,
     seed: int = 9,
 ) -> DataFrame:
     """Copies of each document in the mix: doc_id, source, size, source_size, target, copies, taken.
 
-    `odds` multiplies a document's inclusion odds within its source (default 1: equal chances).
-    The order within a source is cut into `buckets` ranges of the ranking number; only the
-    range where the rest runs out is put in order row by row, so a source with a third of
-    all rows is spread over many tasks.
+    `odds` gives a document's inclusion odds within its source by its words, as a positive
+    number.  The order within a source is cut into ranges of the ranking number, so many that a
+    source of all rows has some 65,000 rows in each; only the range where the rest runs out is
+    put in order row by row.  With row_col, that column of docs is returned too.
 
     The words taken from a source miss its target by half of one document at most.  A document
     is taken floor(target/size) times or once more.  Nulls: a null text has no words; null is a
-    source; null ids share a random number.  Repeated rows count each.  A source without words
-    has target 0 and no copies.  Of an empty table the result is empty.
+    source; rows without an id are told apart by their texts.  Rows that repeat an id count each
+    and share a random number; ties are in order of id and size.  A very long text counts whole.
+    A source without words has target 0 and no copies.  Of an empty table the result is empty.
+    Other columns are not looked at, whatever their names.
     """
-    u = unit_from_md5(F.lit(seed), F.col(id_col))
+    u = unit_from_md5(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(text_of(text_col)))))
     base = materialize(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
             u.alias("u"),
-            (F.lit(1.0) if odds is None else odds.cast("double")).alias("odds"),
+            *([] if row_col is None else [F.col(row_col).alias("row")]),
         ),
         "mix",
     )
+    buckets = max(1024, base.count() >> 16)
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, share, cap).withColumns(
         {
@@ -88,14 +100,12 @@ def mix(
         }
     )
     plan = materialize(plan, "plan")
-    p = F.col("rest") / F.col("source_size")
     rows = (
         base.join(plan.withColumnRenamed("source", "plan_source"), F.col("source").eqNullSafe(F.col("plan_source")))
         .drop("plan_source")
-        # ranking number over the source's odds, as a number in (0, 1)
-        .withColumn("z", (F.col("u") / (1 - F.col("u"))) / F.col("odds"))
+        # the ranking number, and its range as a number in (0, 1)
+        .withColumn("z", (F.col("u") / (1 - F.col("u"))) / odds(F.col("size")))
         .withColumn("bucket", F.least(F.lit(buckets - 1), F.floor(F.col("z") / (1 + F.col("z")) * buckets)).cast("int"))
-        .withColumn("q", F.when(p > 0, F.col("z") / (p / (1 - p))))
     )
     by = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sums = (
@@ -106,10 +116,11 @@ def mix(
         .select("s", "b", "before", F.when(F.col("before") >= F.col("r"), "none").when(F.col("before") + F.col("in_bucket") <= F.col("r"), "all").otherwise("some").alias("part"))
     )
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")), "left").drop("s", "b")
-    running = F.sum("size").over(Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("size").over(Window.partitionBy("source").orderBy("z", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     some = rows.filter("part = 'some'").withColumn("more", (F.col("before") + running - F.col("size") / 2 <= F.col("rest")).cast("int"))
     others = rows.filter("part is null or part <> 'some'").withColumn("more", F.coalesce((F.col("part") == "all").cast("int"), F.lit(0)))
     return some.unionByName(others).select(
+        *([] if row_col is None else ["row"]),
         "doc_id",
         "source",
         "size",
@@ -120,21 +131,26 @@ def mix(
     )
 
 
-def repeat(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: each row of docs as often as its copies say, with the columns of docs.
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: each row of docs as often as mix(docs, **options) takes it, with the columns of docs.
 
-    `mixed` is mix(docs); ids must be unique there.  A null id is matched as a value.
+    Rows are numbered first, so rows that repeat an id, or have none, are each taken as often as
+    the mix says of them.
     """
-    n = mixed.filter("copies > 0").select(F.col("doc_id").alias("_mixed_id"), F.col("copies").alias("_mixed_copies"))
-    out = docs.join(n, docs[id_col].eqNullSafe(n["_mixed_id"]))
-    return out.withColumn("_mixed_copy", F.explode(F.sequence(F.lit(1), F.col("_mixed_copies").cast("int")))).select(*[out[c] for c in docs.columns])
+    name = "_mix"
+    while any(c.startswith(name) for c in docs.columns):
+        name += "_"
+    rows = materialize(docs.withColumn(f"{name}row", F.monotonically_increasing_id()), "rows")
+    n = mix(rows, row_col=f"{name}row", **options).filter("copies > 0").select(F.col("row").alias(f"{name}of"), F.col("copies").cast("int").alias(f"{name}n"))
+    out = rows.join(n, F.col(f"{name}row") == F.col(f"{name}of"))
+    return out.withColumn(f"{name}copy", F.explode(F.sequence(F.lit(1), F.col(f"{name}n")))).select(*docs.columns)
 
 
 #: op9 over documents, for DuckDB.
 ORACLE = r"""
 WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
+         (('0x' || substr(md5('9:' || coalesce(doc_id::VARCHAR, 'null:' || md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u
   FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM base GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM sizes),
@@ -147,7 +163,7 @@ plan AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, coalesce(l
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole,
         CASE WHEN source_size > 0 THEN target - floor(target / source_size) * source_size ELSE 0 END AS rest FROM plan),
 r AS (SELECT b.*, p.source_size, p.target, p.whole, p.rest,
-        sum(b.size) OVER (PARTITION BY b.source ORDER BY b.u / (1 - b.u), b.doc_id, b.size ROWS UNBOUNDED PRECEDING) AS running
+        sum(b.size) OVER (PARTITION BY b.source ORDER BY (b.u / (1 - b.u)) / sqrt((b.size::DOUBLE + 1) / 256), b.doc_id NULLS FIRST, b.size ROWS UNBOUNDED PRECEDING) AS running
       FROM base b JOIN p ON b.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target,
        ((whole + CASE WHEN rest > 0 AND running - size / 2.0 <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken

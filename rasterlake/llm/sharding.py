@@ -39,21 +39,22 @@ def assign_shards(
     grown: float | None = 1.0,
     id_col: str = "doc_id",
     text_col: str = "text",
-    chunks: int = 256,
+    rows_a_chunk: int = 1 << 20,
     seed: int = 17,
 ) -> DataFrame:
     """Shard, slot in the shard, and the shard after one more of weight `grown` has joined.
 
     Returns doc_id, size (UTF-8 bytes of the text and 1), text_crc32, law ('key'), shard, slot,
-    grown_shard.  Slots run from 0 without gaps in each shard: rows are numbered in `chunks`
-    hash chunks of a shard at once and moved up by the sizes of the chunks before, so no task
-    gets a whole shard.
+    grown_shard.  Slots run from 0 without gaps in each shard: rows are numbered in hash
+    chunks of a shard at once (256, or more so that they have some `rows_a_chunk` rows at most)
+    and moved up by the sizes of the chunks before, so no task gets a whole shard.
 
-    Nulls: a null text has size 1 and the checksum of no bytes; null ids share a shard.  Equal
+    Nulls, ties, long texts: a null text has size 1 and the checksum of no bytes; null ids share a shard.  Equal
     rows and repeated ids each get a slot of their own.  Of an empty table the result is empty.
     Other columns are not looked at.
     """
     text = text_of(text_col)
+    chunks = max(256, docs.count() // (rows_a_chunk * len(weights)))
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
@@ -68,10 +69,10 @@ def assign_shards(
         .select("shard", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     )
     at = F.row_number().over(Window.partitionBy("shard", "chunk").orderBy("doc_id", "text_crc32", "size"))
-    # at most shards x chunks rows, whatever the input
+    # both sides are dealt by shard and chunk
     return (
         rows.withColumn("at", at)
-        .join(F.broadcast(offsets), ["shard", "chunk"])
+        .join(offsets, ["shard", "chunk"])
         .select(
             "doc_id",
             "size",

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from rasterlake.llm.mixing import mix, repeat, targets
+from rasterlake.llm.mixing import mix, mixed, targets
 from rasterlake.llm.queries import op5_sharding, op9_mixing
 from rasterlake.llm.sharding import assign_shards
 
@@ -42,7 +42,27 @@ def test_odd_tables(spark, odd, none):
     assert assign_shards(none).count() == 0 and mix(none).count() == 0
     rows = mix(odd).collect()
     assert len(rows) == 10 and sum(r.taken for r in rows if r["size"] == 0) == 0
-    assert repeat(odd, mix(odd)).columns == odd.columns
+    got = mixed(odd)
+    assert got.columns == odd.columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter({d: n for d in {r.doc_id for r in rows} if (n := sum(r.copies for r in rows if r.doc_id == d))})
+
+
+def test_rows_that_repeat_an_id_or_have_none_do_not_multiply(spark):
+    rows = [(1, "a b c", "x"), (1, "d e f", "x"), (None, "g h i", "x"), (None, "j k l", "x"), (2, "m n o", "x"), (3, "p q r", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"_mixrow": F.lit(7), "_mixn": F.lit(7)})
+    want = sum(r.copies for r in mix(docs).collect())
+    got = mixed(docs).collect()
+    assert len(got) == want and 8 <= want <= 10 and {r._mixrow for r in got} == {7}
+
+
+def test_long_documents_have_the_better_chance(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), F.when(F.col("id") % 2 == 0, 10).otherwise(1000).cast("int")).alias("text"), F.lit("x").alias("source"))
+    own = mix(docs, share=0.5, cap=1.0).groupBy("size").agg(F.sum("copies").alias("n")).collect()
+    taken = {r["size"]: r.n / 2000 for r in own}
+    odds = {k: p / (1 - p) for k, p in taken.items()}
+    assert odds[1000] / odds[10] == pytest.approx((1001 / 11) ** 0.5, rel=0.25)
+    equal = {r["size"]: r.n / 2000 for r in mix(docs, share=0.5, cap=1.0, odds=lambda size: F.lit(1.0)).groupBy("size").agg(F.sum("copies").alias("n")).collect()}
+    assert equal[10] == pytest.approx(equal[1000], abs=0.05)
 
 
 def test_mix_meets_its_targets(spark):
