@@ -81,16 +81,22 @@ def unit_from_md5(*parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
 
 
-def maybe_in(rows: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataFrame:
-    """The rows whose key may be among ids[key], by a bitmap of hashes: all that are, and others, the more the larger ids is.
+def mark_maybe(rows: DataFrame, key: str, ids: DataFrame, name: str, bits: int = 23) -> DataFrame:
+    """rows with a boolean column: may the key be among ids[key]?
 
-    Put it before a join, to shuffle less.  The broadcast bitmap has 2 ** bits bits, whatever the input.
+    By a bitmap of hashes: true for all that are, and for others, the more the larger ids is.  The
+    broadcast bitmap has 2 ** bits bits, whatever the input.  A null key is a key like any other.
     """
     spot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     word, bit = F.shiftright(spot, 6).cast("int"), F.pmod(spot, F.lit(64)).cast("int")
     words = ids.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
     there = F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1
-    return rows.join(F.broadcast(words), word == F.col("_word")).filter(there).drop("_word", "_bits")
+    return rows.join(F.broadcast(words), word == F.col("_word"), "left").withColumn(name, F.coalesce(there, F.lit(False))).drop("_word", "_bits")
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """The rows whose key may be among ids[key] (mark_maybe); put it before a join, to shuffle less."""
+    return mark_maybe(rows, key, ids, "_maybe", bits).filter("_maybe").drop("_maybe")
 
 
 def batches(it, rows: int = 512, size: int = 4 << 20):

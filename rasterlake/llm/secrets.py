@@ -3,13 +3,18 @@
 From each rule's regular expression a Boolean query over trigrams is derived that every match
 satisfies.  The index has, for each trigram that some query names, the documents that contain
 it (lower-cased); a rule's candidates come from intersecting those postings, and only they are
-searched by its expression.  A rule whose expression forces no trigram is searched for in all.
+searched by its expression, and only their texts move.  A rule whose expression forces no
+trigram is searched for in all.
+
+Work grows with the text and its matches, not with their product: running places are summed
+up, and texts cut, in blocks of BLOCK matches.
 """
 
 from __future__ import annotations
 
 import re._constants as C
 import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -17,7 +22,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import mark_maybe, materialize, text_of
 
 
 @dataclass(frozen=True)
@@ -43,6 +48,7 @@ MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
+BLOCK = 256
 _MOST = 64  # strings that a part may stand for before it counts as anything
 
 
@@ -133,6 +139,32 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
+def _blocks(items: Column) -> Column:
+    """An array as an array of arrays of BLOCK."""
+    n = F.ceil(F.size(items) / BLOCK).cast("int")
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+
+
+def _running(items: Column, at: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """struct(at, out): from left to right, step(at, item) gives the next `at` and an array of what to put out."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, x: Column) -> Column:
+        to, out = step(acc["at"], x)
+        return F.struct(to.alias("at"), F.concat(acc["out"], out).alias("out"))
+
+    def block(acc: Column, own: Column) -> Column:
+        found = F.aggregate(own, F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        return F.struct(found["at"].alias("at"), F.concat(acc["out"], F.array(found["out"])).alias("out"))
+
+    start = F.struct(at.cast("long").alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(_blocks(items), start, block, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))
+
+
+_SPAN = "struct<start:long,ord:int,end:long,kind:string>"
+
+
 def _matches(text: Column, rule: Rule, order: int) -> Column:
     """Spans of one rule in a text: array of (start, order, end, kind), in code points.
 
@@ -145,15 +177,23 @@ def _matches(text: Column, rule: Rule, order: int) -> Column:
         F.transform(whole, F.char_length).alias("len"),
         F.transform(held, F.char_length).alias("held"),
     )
-    span = "array<struct<start:long,ord:int,end:long,kind:string>>"
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
         own = F.struct(start.alias("start"), F.lit(order).alias("ord"), (start + x["len"]).alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct((start + x["len"]).alias("at"), F.when(x["held"] >= rule.least, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
+        return start + x["len"], F.when(x["held"] >= rule.least, F.array(own)).otherwise(F.array().cast(f"array<{_SPAN}>"))
+
+    return _running(lengths, F.lit(0), _SPAN, step)["out"]
+
 
-    return F.aggregate(lengths, zero, step, lambda acc: acc["out"])
+def probe(rule: Rule) -> str:
+    """An expression that finds something in every text where the rule keeps a match.
+
+    Where the rule is one class of characters repeated, a run of `least` is looked for.
+    """
+    tree = list(parser.parse(rule.regex))
+    run = len(tree) == 1 and tree[0][0] is C.MAX_REPEAT and tree[0][1][1] is C.MAXREPEAT and [op for op, _ in tree[0][1][2]] == [C.IN]
+    return f"{rule.regex[:-1]}{{{rule.least},}}" if run and rule.group == 0 and rule.regex.endswith("]+") else rule.regex
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", keep: str = "") -> DataFrame:
@@ -161,23 +201,30 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
 
     With `keep`, all columns of docs stay, and found is put after them under that name.
 
-    Places are code points, end exclusive.  A null text has none.  Rows with the same id share
-    candidates, which only adds searches; null ids are matched as values.  Of an empty table
-    the result is empty.
+    Places are code points, end exclusive.  A null or empty text has none; of a very long one all
+    are found.  Spans that start together are in the order of the rules.  Rows that repeat an id
+    share candidates, which only adds searches, and are each returned; null ids are matched as
+    values.  Of an empty table the result is empty.  Columns of docs may have any names that do
+    not begin with _secret.
     """
     forced = {r.kind for r in rules if trigram_query(r.regex) is not None}
-    found = candidates(postings(docs, rules, id_col, text_col), rules).select(F.col("doc_id").alias("_cand_id"), F.col("kinds").alias("_cand_kinds"))
-    rows = docs.join(found, docs[id_col].eqNullSafe(found["_cand_id"]), "left")
-    text = F.coalesce(docs[text_col], F.lit(""))
-    none = F.array().cast("array<struct<start:long,ord:int,end:long,kind:string>>")
-    parts = []
-    for i, r in enumerate(rules):
-        maybe = F.array_contains(F.col("_cand_kinds"), r.kind) if r.kind in forced else F.rlike(text, F.lit(f"{r.regex[:-1]}{{{r.least},}}" if r.regex == "[0-9a-f]+" else r.regex))
-        parts.append(F.when(maybe, _matches(text, r, i)).otherwise(none))
-    spans = F.array_sort(reduce(F.concat, parts))
+    # ids and kinds of the candidates
+    found = materialize(candidates(postings(docs, rules, id_col, text_col), rules).select(F.col("doc_id").alias("_secret_id"), F.col("kinds").alias("_secret_kinds")), "candidates")
+    rows = mark_maybe(docs, id_col, found.select(F.col("_secret_id").alias(id_col)), "_secret_maybe")
+    some = rows.filter("_secret_maybe").join(found, F.col(id_col).eqNullSafe(F.col("_secret_id")), "left").drop("_secret_id")
+    rest = rows.filter("not _secret_maybe").withColumn("_secret_kinds", F.lit(None).cast("array<string>"))
+    text = text_of(text_col)
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def spans(of: tuple[str, ...]) -> Column:
+        parts = [F.when(F.array_contains("_secret_kinds", r.kind) if r.kind in forced else F.rlike(text, F.lit(probe(r))), _matches(text, r, i)).otherwise(none) for i, r in enumerate(rules) if r.kind in of]
+        return F.array_sort(reduce(F.concat, parts)) if parts else none
+
+    every = tuple(r.kind for r in rules)
+    both = some.withColumn("_secret_found", spans(every)).unionByName(rest.withColumn("_secret_found", spans(tuple(k for k in every if k not in forced))))
     if keep:
-        return rows.select(*[docs[c] for c in docs.columns], spans.alias(keep))
-    return rows.select(docs[id_col].alias("doc_id"), text.alias("text"), spans.alias("found"))
+        return both.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_secret_found").alias(keep))
+    return both.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col("_secret_found").alias("found"))
 
 
 def spans_text(found: Column) -> Column:
@@ -186,21 +233,29 @@ def spans_text(found: Column) -> Column:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every secret in the text replaced by `mask`; overlapping spans give one mask.
+    """docs with every secret in the text replaced by `mask`; of spans that overlap only the first gives a mask.
 
     Columns and rows stay as they are; a null text stays null.
     """
     rows = scan(docs, rules, id_col, text_col, keep="_secrets")
     text = F.col(text_col)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    kind = "struct<at:long,end:long>"
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        gap = F.array(F.struct(at.alias("at"), x["start"].alias("end")))
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, gap).otherwise(F.array().cast(f"array<{kind}>"))
+
+    kept = _running(F.col("_secrets"), F.lit(0), kind, step)  # the text before each mask, and where that after the last begins
+    cut = lambda whole, a, n: F.substring(whole, (a + 1).cast("int"), n.cast("int"))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int"))
-        fresh = F.concat(acc["out"], gap, F.lit(mask))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def block(own: Column) -> Column:
+        first = own[0]["at"]
+        part = cut(text, first, F.element_at(own, -1)["end"] - first)
+        # the part is cut out once, then its pieces are
+        return F.array_join(F.transform(F.array(F.struct(part.alias("text"), first.alias("at"), own.alias("own"))), lambda s: F.array_join(F.transform(s["own"], lambda x: F.concat(cut(s["text"], x["at"] - s["at"], x["end"] - x["at"]), F.lit(mask))), "")), "")
 
-    clean = F.aggregate(F.col("_secrets"), zero, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    return rows.withColumn(text_col, F.when(F.size("_secrets") > 0, clean).otherwise(text)).select(*docs.columns)
+    clean = F.concat(F.array_join(F.transform(_blocks(kept["out"]), block), ""), cut(text, kept["at"], F.lit(2**31 - 1)))
+    return rows.withColumn(text_col, F.when(F.size("_secrets") > 0, clean).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(scanned: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:

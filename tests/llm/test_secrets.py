@@ -48,6 +48,19 @@ def test_hard_texts(spark):
         assert clean[i] == "".join(out) + t[at:]
 
 
+def test_very_long_texts_and_many_matches(spark):
+    texts = ["".join(f"x{i} secret=abcd{i:05d} " + "word " * (i % 7) + "é" * (i % 3) for i in range(5000)), "f" * 40 + " plain " * 100_000 + "e" * 40, " ".join(["0123456789abcdef" * 2] * 3000)]
+    docs = spark.createDataFrame([*enumerate(texts), (1, "again"), (1, texts[1])], "doc_id long, text string")
+    check(docs, S.digest(S.scan(docs)))
+    clean = [r.text for r in S.redact(docs).orderBy("doc_id").collect()]
+    assert len(clean) == 5 and clean[0] == re.sub(r"secret=abcd\d{5}", "[SECRET]", texts[0]) and clean[4] == " ".join(["[SECRET]"] * 3000)
+
+
+def test_probes():
+    assert S.probe(S.BASE[2]) == "[0-9a-f]{32,}" and S.probe(S.BASE[1]) == S.BASE[1].regex
+    assert S.probe(S.Rule("x", "[a-c]+|d", 9)) == "[a-c]+|d"
+
+
 def test_trigram_queries():
     assert S.trigram_query("[0-9a-f]+") is None
     assert S.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
