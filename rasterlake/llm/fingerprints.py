@@ -1,16 +1,16 @@
 """Document fingerprints: a canonical exact digest.
 
 The canonical text is NFKC, case-folded, NFKC again, with each run of white space as one blank and
-none at the ends; its digest is 128 bits of xxh3.  Texts with equal digests are compared byte by
-byte; if they differ after all, all but the first get a suffix, so equal fingerprints mean
-equal canonical texts.
+none at the ends; its digest is 128 bits of xxh3.  Texts with equal digests, edited ones too, are
+compared byte by byte; if they differ after all, all but the first get a suffix, so equal
+fingerprints mean equal canonical texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, text_of
+from .common import batches, materialize, maybe_in, text_of
 
 BITS = 23  # of the filter that tells which digests occur once
 
@@ -39,14 +39,20 @@ def edited(text: str, other: str | None) -> str:
     return text[: len(text) - n] + (other or "")[:n]
 
 
-def _row(doc, text: str, after: str) -> tuple:
+def _row(doc, text: str, after_id, after: str, make: Callable[[bytes], str], ranks: dict) -> tuple:
     change = edited(text, after)
     own, new, following = canonical(text), canonical(change), canonical(after)
-    return doc, len(text), hashlib.sha256(change.encode("utf-8", "surrogatepass")).hexdigest(), digest(own), digest(new), float(own == new), float(own == following)
 
+    def name(canon: bytes) -> str:
+        found = make(canon)
+        rank = ranks.get((found, hashlib.sha256(canon).hexdigest()), 0) if ranks else 0
+        return f"{found}-{rank}" if rank else found
 
-_SHAPE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    return doc, len(text), hashlib.sha256(change.encode("utf-8", "surrogatepass")).hexdigest(), name(own), name(new), float(own == new), float(own == following), after_id
+
+
+_SHAPE = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, next_id long"
+_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
 _NAMES = [x.split()[0] for x in _SHAPE.split(", ")]
 
 
@@ -55,8 +61,10 @@ def _batch(rows: list[tuple], more: list[tuple] | None = None, names: tuple = ()
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (*_KINDS, *kinds))], names=[*_NAMES, *names])
 
 
-def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of each text, of its edited text and whether they and the next text's are equal.
+def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", make: Callable[[bytes], str] = digest, ranks: dict | None = None) -> DataFrame:
+    """Digests of each text, of its edited text, whether they and the next text's are equal, and the next id.
+
+    ranks: suffixes by (digest, sha256 of the canonical text).
 
     The texts are put in order by ranges of the id, once; the first and last row of each range
     then meet those of the ranges beside it.
@@ -68,7 +76,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         part, last = TaskContext.get().partitionId(), None
-        hollow = (0, "", "", "", 0.0, 0.0)
+        hollow = (0, "", "", "", 0.0, 0.0, None)
         for b in batches(it):
             out, more = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -76,7 +84,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     out.append((doc, *hollow))
                     more.append((part, "first", text))
                 else:
-                    out.append(_row(*last, text))
+                    out.append(_row(*last, doc, text, make, ranks))
                     more.append((part, None, None))
                 last = doc, text
             yield _batch(out, more, extra, kinds)
@@ -88,24 +96,25 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # two rows of each range at most; the last range is followed by the first
     order = Window.orderBy("part")
     at = ends.filter("end = 'last'").select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(Window.partitionBy())).alias("next"))
-    pairs = at.join(ends.filter("end = 'last'").select("part", "doc_id", "text"), "part").join(ends.filter("end = 'first'").select(F.col("part").alias("next"), F.col("text").alias("after")), "next")
+    pairs = at.join(ends.filter("end = 'last'").select("part", "doc_id", "text"), "part").join(ends.filter("end = 'first'").select(F.col("part").alias("next"), F.col("doc_id").alias("after_id"), F.col("text").alias("after")), "next")
 
     def close(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in batches(it, 16):
-            yield _batch([_row(*r) for r in zip(*[c.to_pylist() for c in b.columns])])
+            yield _batch([_row(*r, make, ranks) for r in zip(*[c.to_pylist() for c in b.columns])])
 
-    return table.filter("end is null").select(*_NAMES).unionByName(pairs.select("doc_id", "text", "after").mapInArrow(close, _SHAPE))
+    return table.filter("end is null").select(*_NAMES).unionByName(pairs.select("doc_id", "text", "after_id", "after").mapInArrow(close, _SHAPE))
 
 
-def collisions(docs: DataFrame, digests: DataFrame, text_col: str = "text", make=digest) -> DataFrame:
-    """Canonical texts that share a digest with another: digest, sha (of the text's bytes), rank from 0.
+def collisions(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", make: Callable[[bytes], str] = digest) -> DataFrame:
+    """Canonical texts, edited ones too, that share a digest with another: digest, sha (of the text's bytes), rank from 0.
 
-    digests: one column, a row for each text.  Texts whose digest occurs more than once are
-    compared byte by byte: each task keeps one copy of each, and of a digest all tasks' copies
-    meet.  Normally the result is empty.
+    table: what neighbours() gave.  Texts whose digest occurs more than once are compared byte by
+    byte: each task keeps one copy of each, and of a digest all tasks' copies meet.  Edited texts
+    are made again from the two documents that they are made of.  Normally the result is empty.
     """
+    digests = table.select(F.explode(F.array("fingerprint", "edited_fingerprint")).alias("digest"))
     size = 1 << BITS
-    twice = digests.groupBy(F.col(digests.columns[0]).alias("digest")).agg(F.count("*").alias("n")).filter("n > 1")
+    twice = materialize(digests.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "twice")
     spot = F.conv(F.substring("digest", 1, BITS // 4 + 1), 16, 10).cast("long") % size
     words = twice.select(spot.alias("spot")).groupBy((F.col("spot") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("spot") % 64).cast("int"))).alias("bits")).collect()  # 2 ** BITS bits at most
     bits = np.zeros(size // 64, np.int64)
@@ -118,8 +127,8 @@ def collisions(docs: DataFrame, digests: DataFrame, text_col: str = "text", make
         held = 0
         for b in batches(it):
             out = []
-            for text in b.column(0).to_pylist():
-                canon = canonical(text)
+            for text, *more in zip(*[c.to_pylist() for c in b.columns]):
+                canon = canonical(edited(text, more[0]) if more else text)
                 name = make(canon)
                 at = int(name[: BITS // 4 + 1], 16) % size
                 if not int(bits[at >> 6]) >> (at & 63) & 1 or canon in seen:
@@ -132,7 +141,16 @@ def collisions(docs: DataFrame, digests: DataFrame, text_col: str = "text", make
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.binary())], names=["digest", "canon"])
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    copies = docs.select(text_of(text_col)).mapInArrow(pick, "digest string, canon binary").repartition(n, "digest").sortWithinPartitions("digest")
+    texts = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text"))
+    # pairs of ids whose edited text shares its digest; ids that repeat give more texts than needed, which only adds comparisons
+    changed = table.join(twice, F.col("edited_fingerprint") == F.col("digest"), "left_semi").select("doc_id", "next_id").distinct()
+    changed = materialize(changed, "changed")
+    ids = changed.select(F.col("doc_id").alias("_id")).unionByName(changed.select(F.col("next_id").alias("_id")))
+    some = maybe_in(texts, "_id", ids)
+    first, after = some.select(F.col("_id").alias("_a"), F.col("_text").alias("_first")), some.select(F.col("_id").alias("_b"), F.col("_text").alias("_after"))
+    made = changed.join(first, F.col("doc_id").eqNullSafe(F.col("_a"))).join(after, F.col("next_id").eqNullSafe(F.col("_b"))).select("_first", "_after")
+    copies = texts.select("_text").mapInArrow(pick, "digest string, canon binary").unionByName(made.mapInArrow(pick, "digest string, canon binary"))
+    copies = copies.repartition(n, "digest").sortWithinPartitions("digest")
 
     def unlike(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         now, kinds = None, []
@@ -154,31 +172,20 @@ def collisions(docs: DataFrame, digests: DataFrame, text_col: str = "text", make
     return copies.mapInArrow(unlike, "digest string, sha string, rank int")
 
 
-def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", make: Callable[[bytes], str] = digest) -> DataFrame:
     """Fingerprints of every row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next.
+    near_edited, near_next, next_id.
 
     The next document is that of the next larger id (the first after the last); a null id is
     before all others, and rows that repeat an id are in order of their texts.  A null text is
     empty; of a single row the next is itself.  Likeness is 1 for equal canonical texts, else 0.
-    Of an empty table the result is empty.  Other columns are not looked at.
+    A very long text is one row and is worked on whole.  Of an empty table the result is empty.
+    Other columns are not looked at, whatever their names.
     """
-    table = materialize(neighbours(docs, id_col, text_col), "digests")
-    clash = materialize(collisions(docs, table.select("fingerprint"), text_col), "collisions")
+    table = materialize(neighbours(docs, id_col, text_col, make), "digests")
+    clash = materialize(collisions(docs, table, id_col, text_col, make), "collisions")
     if clash.isEmpty():
         return table
-    return resolved(docs, table, clash, id_col, text_col)
-
-
-def resolved(docs: DataFrame, table: DataFrame, clash: DataFrame, id_col: str = "doc_id", text_col: str = "text", make=digest) -> DataFrame:
-    """`table` with a suffix for the digests in `clash`, by the rank of the row's text."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for b in batches(it):
-            canon = [canonical(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([make(c) for c in canon], pa.string()), pa.array([hashlib.sha256(c).hexdigest() for c in canon])], names=["_id", "digest", "sha"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")).mapInArrow(run, "_id long, digest string, sha string")
-    ranks = rows.join(clash, ["digest", "sha"]).filter("rank > 0").select("_id", "digest", "rank").distinct()
-    out = table.join(ranks, table["doc_id"].eqNullSafe(ranks["_id"]) & (table["fingerprint"] == ranks["digest"]), "left")
-    return out.select(*[F.when(F.col("rank").isNull(), F.col("fingerprint")).otherwise(F.concat_ws("-", "fingerprint", F.col("rank").cast("string"))).alias("fingerprint") if c == "fingerprint" else F.col(c) for c in table.columns])
+    # texts that differ under one digest: of 128 bits, next to none
+    ranks = {(r.digest, r.sha): r["rank"] for r in clash.filter("rank > 0").collect()}
+    return neighbours(docs, id_col, text_col, make, ranks)
