@@ -11,6 +11,12 @@ KM_PER_DEGREE_LON, KM_PER_DEGREE_LAT = 111.320, 110.574
 LAND_COST = {0: 1e6, 10: 1.6, 20: 1.3, 30: 1.0, 40: 1.1, 50: 2.0, 60: 1.0, 70: 3.0, 80: 50.0, 90: 3.0, 95: 5.0, 100: 1.2}
 
 
+def unit(*parts) -> Column:
+    """A number in (0, 1) from the md5 of the parts (columns, numbers or text), joined by colons: the same in any engine."""
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
+
+
 def div(a: Column, b) -> Column:
     """Whole quotient, rounded down, of numbers that aren't negative."""
     return F.floor(a / b).cast("long")
@@ -145,6 +151,18 @@ def object_path(bucket: Column, key: Column) -> Column:
     return F.concat(F.lit("/"), escaped)
 
 
+def key_parts(key: Column) -> dict[str, Column]:
+    """Pieces of a path such as bucket/tile/date/band.tif: bucket, object (what follows it), date, band."""
+    parts = F.split(key, "/")
+    n = F.size(parts)
+    return {"bucket": parts[0], "object": F.substring(key, F.length(parts[0]) + 2, F.length(key)), "date": F.when(n > 2, F.element_at(parts, -2)), "band": F.regexp_extract(F.element_at(parts, -1), r"^([^.]*)", 1)}
+
+
+def config_label(config: Column, labels: dict[str, str]) -> Column:
+    """A configuration's name in reports; its own where there is none."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[config], config)
+
+
 def nodata_value(text: Column) -> Column:
     return F.trim(F.translate(text, "\0", " ")).try_cast("double")
 

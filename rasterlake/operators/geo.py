@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.columns import bad_height, cell_cost, km_per_degree, slope_degrees
 
 
-def covering(points: DataFrame, boxes: DataFrame, cell: float = 1.0) -> DataFrame:
+def covering(points: DataFrame, boxes: DataFrame, cell: float = 1.0, on: list[str] | None = None) -> DataFrame:
     """points (pt_id, px, py) with the least key of the boxes (key, w, s, e, n) that hold them; null if none.
 
-    w <= x < e and s < y <= n.  Boxes are cut into cells, so that the join has an equal key.
+    w <= x < e and s < y <= n.  Boxes are cut into cells, so that the join has an equal key;
+    `on` are more columns that must be equal.
     """
+    on = on or []
     col = lambda c: F.floor(F.col(c) / F.lit(float(cell))).cast("long")
     tiled = boxes.withColumn("cx", F.explode(F.sequence(col("w"), col("e")))).withColumn("cy", F.explode(F.sequence(col("s"), col("n"))))
-    p = points.withColumn("cx", col("px")).withColumn("cy", col("py"))
-    hits = p.join(tiled, ["cx", "cy"]).filter("w <= px and px < e and s < py and py <= n").groupBy("pt_id").agg(F.min("key").alias("key"))
+    p = points.select("pt_id", "px", "py", *on).withColumn("cx", col("px")).withColumn("cy", col("py"))
+    hits = p.join(tiled, ["cx", "cy", *on]).filter("w <= px and px < e and s < py and py <= n").groupBy("pt_id").agg(F.min("key").alias("key"))
     return points.join(hits, "pt_id", "left")
 
 

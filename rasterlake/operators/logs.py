@@ -18,6 +18,16 @@ def metrics(log: DataFrame) -> DataFrame:
     return log.groupBy("kind").agg(F.count("*").alias("requests"), F.coalesce(F.sum("resp_body_bytes"), F.lit(0)).alias("bytes"))
 
 
+def by_version(log: DataFrame) -> DataFrame:
+    """Requests by HTTP version."""
+    return log.groupBy("http_version").agg(F.count("*").alias("requests"))
+
+
+def by_key(log: DataFrame) -> DataFrame:
+    """Requests and bytes by object."""
+    return log.groupBy("key").agg(F.count("*").alias("requests"), F.coalesce(F.sum("resp_body_bytes"), F.lit(0)).alias("bytes"))
+
+
 def totals(log: DataFrame, min_bytes: float | None = None, min_requests: float | None = None) -> DataFrame:
     """One row: requests, bytes, keys, connections, mean bytes of ranged requests (0 if none), and both against their minimum."""
     ranged = F.avg(F.when(F.col("range").isNotNull(), F.col("resp_body_bytes")))
@@ -31,39 +41,70 @@ def status_pivot(log: DataFrame, statuses: list) -> DataFrame:
     return log.groupBy("kind").pivot("status", statuses).count().fillna(0)
 
 
-def sequence(log: DataFrame) -> DataFrame:
-    """Requests with their number in the session (label) and whether they are the first of their connection."""
-    by = Window.partitionBy("label").orderBy("ts", "req")
-    return log.withColumn("seq", F.row_number().over(by) - 1).withColumn("new_conn", F.row_number().over(Window.partitionBy("label", "conn").orderBy("ts", "req")) == 1)
+def sequence(log: DataFrame, chunk: float = 3600.0) -> DataFrame:
+    """Requests with their number in the session (label), from 0, and whether they are the first of their connection.
+
+    A session is numbered in stretches of `chunk` units of ts at once; a stretch is moved up by
+    the sizes of those before it, so no task gets a whole session.
+    """
+    rows = log.withColumn("_part", F.floor(F.col("ts") / F.lit(float(chunk))))
+    before = Window.partitionBy("label").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("label", "_part").agg(F.count("*").alias("_n")).select("label", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("label", "_part").orderBy("ts", "req"))
+    numbered = rows.withColumn("_at", at).join(sizes, ["label", "_part"]).withColumn("seq", F.col("_before") + F.col("_at") - 1)
+    first = log.groupBy("label", "conn").agg(F.min(F.struct("ts", "req")).alias("_first"))
+    out = numbered.join(first.select(F.col("label").alias("_l"), F.col("conn").alias("_c"), "_first"), F.col("label").eqNullSafe(F.col("_l")) & F.col("conn").eqNullSafe(F.col("_c")), "left")
+    return out.withColumn("new_conn", F.struct("ts", "req") == F.col("_first")).drop("_part", "_before", "_at", "_first", "_l", "_c")
+
+
+PARTS = ("header", "needed", "redundant", "unneeded", "padding", "list_and_other")
 
 
-def attribution(log: DataFrame, tiles: DataFrame, required: DataFrame, headers: DataFrame, bucket: int = 1 << 20) -> DataFrame:
-    """Where bytes went, as one row: header, needed, redundant, unneeded, padding.
+def diagnose(log: DataFrame, tiles: DataFrame, required: DataFrame, headers: DataFrame, by: list[str] | None = None, bucket: int = 1 << 20) -> DataFrame:
+    """Where bytes went, a row for each group `by` (of log): header, needed, redundant, unneeded, padding, list_and_other.
 
-    log: req, key, lo, hi (inclusive).  A tile's bytes are needed until it is whole, then
-    redundant; padding is what no header or tile covers.  Ranges and tiles meet by cells of
-    `bucket` bytes, each pair in the first cell that both touch.
+    log: req, key, lo, hi (inclusive), resp_body_bytes.  A tile's bytes are needed until it is
+    whole, then redundant; padding is what no header or tile covers; what isn't a range of a known
+    object is list_and_other.  Also: blocks met and met again, the worst ratio of bytes to size
+    of a tile, and each part in percent.  Ranges and tiles meet by cells of `bucket` bytes, each
+    pair in the first cell that both touch.
     """
+    by = by or []
     cells = lambda a, z: F.explode(F.sequence(F.floor(a / bucket), F.floor(z / bucket)))
     t = tiles.filter("bytecount > 0").select("key", "level", "block", F.col("offset").alias("s"), (F.col("offset") + F.col("bytecount")).alias("e"))
-    r = log.select("req", "key", "lo", "hi").filter("hi >= lo")
-    both = r.withColumn("cell", cells(F.col("lo"), F.col("hi"))).join(t.withColumn("cell", cells(F.col("s"), F.col("e") - 1)), ["key", "cell"])
+    r = log.select(*by, "req", "key", "lo", "hi", F.coalesce("resp_body_bytes", F.lit(0)).alias("size"))
+    ranged = r.filter("hi >= lo")
+    both = ranged.withColumn("cell", cells(F.col("lo"), F.col("hi"))).join(t.withColumn("cell", cells(F.col("s"), F.col("e") - 1)), ["key", "cell"])
     both = both.filter((F.col("s") <= F.col("hi")) & (F.col("e") > F.col("lo")) & (F.col("cell") == F.floor(F.greatest("s", "lo") / bucket)))
     overlap = both.withColumn("ov", F.least(F.col("hi") + 1, "e") - F.greatest("lo", "s"))
-    per_tile = overlap.groupBy("key", "level", "block", (F.col("e") - F.col("s")).alias("size")).agg(F.sum("ov").alias("got"))
+    per_tile = overlap.groupBy(*by, "key", "level", "block", (F.col("e") - F.col("s")).alias("of")).agg(F.sum("ov").alias("got"))
     marked = per_tile.join(required.select("key", "level", "block").distinct().withColumn("need", F.lit(True)), ["key", "level", "block"], "left")
     need = F.coalesce("need", F.lit(False))
-    a = marked.agg(
-        F.coalesce(F.sum(F.when(need, F.least("size", "got"))), F.lit(0)).alias("needed"),
-        F.coalesce(F.sum(F.when(need, F.greatest(F.lit(0).cast("long"), F.col("got") - F.col("size")))), F.lit(0)).alias("redundant"),
-        F.coalesce(F.sum(F.when(~need, F.col("got"))), F.lit(0)).alias("unneeded"),
+    zero = F.lit(0).cast("long")
+    add = lambda c: F.coalesce(F.sum(c), zero)
+    a = marked.groupBy(*by).agg(
+        add(F.when(need, F.least("of", "got"))).alias("needed"),
+        add(F.when(need, F.greatest(zero, F.col("got") - F.col("of")))).alias("redundant"),
+        add(F.when(~need, F.col("got"))).alias("unneeded"),
         F.count("*").alias("blocks"),
-        F.count(F.when(F.col("got") > F.col("size"), 1)).alias("blocks_refetched"),
+        F.count(F.when(F.col("got") > F.col("of"), 1)).alias("blocks_refetched"),
+        F.max(F.col("got") / F.col("of")).alias("worst"),
     )
     covered = overlap.groupBy("req").agg(F.sum("ov").alias("in_tiles"))
-    h = r.join(headers, "key").join(covered, "req", "left").withColumn("in_header", F.greatest(F.lit(0).cast("long"), F.least(F.col("hi") + 1, F.col("header_bytes")) - F.col("lo")))
-    b = h.agg(F.coalesce(F.sum("in_header"), F.lit(0)).alias("header"), F.coalesce(F.sum(F.greatest(F.lit(0).cast("long"), F.col("hi") - F.col("lo") + 1 - F.col("in_header") - F.coalesce("in_tiles", F.lit(0)))), F.lit(0)).alias("padding"))
-    return b.crossJoin(a).select("header", "needed", "redundant", "unneeded", "padding", "blocks", "blocks_refetched")  # two rows of totals
+    h = r.join(headers, "key", "left").join(covered, "req", "left")
+    known = F.col("header_bytes").isNotNull() & (F.col("hi") >= F.col("lo"))
+    in_header = F.greatest(zero, F.least(F.col("hi") + 1, F.col("header_bytes")) - F.col("lo"))
+    rest = F.greatest(zero, F.col("hi") - F.col("lo") + 1 - in_header - F.coalesce("in_tiles", zero))
+    b = h.groupBy(*by).agg(add(F.when(known, in_header)).alias("header"), add(F.when(known, rest)).alias("padding"), add(F.when(~F.coalesce(known, F.lit(False)), F.greatest(zero, F.col("size")))).alias("list_and_other"))
+    one = b.join(a, by, "left") if by else b.crossJoin(a)  # without groups two rows of totals
+    whole = sum((F.coalesce(F.col(c), zero) for c in PARTS[1:]), F.col("header"))
+    pct = [F.bround(100 * F.coalesce(F.col(c), zero) / F.greatest(F.lit(1), whole), 2).alias(f"{c}_pct") for c in PARTS]
+    return one.select(*by, *[F.coalesce(c, zero).alias(c) for c in PARTS], F.coalesce("blocks", zero).alias("blocks"), F.coalesce("blocks_refetched", zero).alias("blocks_refetched"), "worst", *pct)
+
+
+def attribution(log: DataFrame, tiles: DataFrame, required: DataFrame, headers: DataFrame) -> DataFrame:
+    """diagnose() of a whole log, as one row: header, needed, redundant, unneeded, padding, blocks, blocks_refetched."""
+    return diagnose(log, tiles, required, headers).select("header", "needed", "redundant", "unneeded", "padding", "blocks", "blocks_refetched")
 
 
 def rtt_violations(runs: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ height, blockw, blockh, nbx, nby, itemsize ..); tiles (key, level, block, offset
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,20 +62,21 @@ def required(requests: DataFrame, levels: DataFrame) -> DataFrame:
     return items(requests, levels).select(*TILE).distinct()
 
 
-def jobs(found: DataFrame, tiles: DataFrame, keep_items: bool = False) -> DataFrame:
-    """One row for each touched tile: its bytes, shallowest and deepest row, number of items (and the items)."""
-    more = [F.collect_list(F.struct("req_id", "ly0", "ly1", "lx0", "lx1", "dy0", "dx0")).alias("items")] if keep_items else []
-    grouped = found.groupBy(*TILE).agg(F.min("ly0").alias("shallow"), (F.max("ly1") - 1).alias("deep"), F.count("*").alias("n_items"), *more)
+def jobs(found: DataFrame, tiles: DataFrame) -> DataFrame:
+    """One row for each touched tile: its bytes, shallowest and deepest row, number of items."""
+    grouped = found.groupBy(*TILE).agg(F.min("ly0").alias("shallow"), (F.max("ly1") - 1).alias("deep"), F.count("*").alias("n_items"))
     return grouped.join(tiles.select(*TILE, "offset", "bytecount"), TILE)
 
 
 def as_of(wanted: DataFrame, points: DataFrame, by: list[str], at: str, out: str = "out") -> DataFrame:
-    """wanted with `point`: the struct of the last of `points` (with columns by) whose `out` is at most wanted[at]; null without any."""
+    """wanted with `point`: the struct of the last of `points` (with columns by) whose `out` is at most wanted[at]; null without any.
+
+    wanted: one row for each of `by` and at.
+    """
     rest = [c for c in points.columns if c not in by]
-    listed = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(out, *[c for c in rest if c != out]))).alias("_points"))
-    # a tile has one point for each span of its bytes: a short list
-    ok = F.filter("_points", lambda p: p[out] <= F.col(at))
-    return wanted.join(listed, by, "left").withColumn("point", F.when(F.size(ok) > 0, F.element_at(ok, -1))).drop("_points")
+    own = wanted.select(*by, F.col(at).alias("_at")).distinct()
+    best = own.join(points, by).filter(F.col(out) <= F.col("_at")).groupBy(*by, "_at").agg(F.max(F.struct(out, *[c for c in rest if c != out])).alias("point"))
+    return wanted.join(best.withColumnRenamed("_at", at), [*by, at], "left")
 
 
 def valid_point(count: Column, total: Column, in_byte: Column, bits: Column, out: Column, window_size: Column) -> Column:
@@ -83,13 +86,13 @@ def valid_point(count: Column, total: Column, in_byte: Column, bits: Column, out
 def fetch_plan(job: DataFrame, levels: DataFrame, options: Options = Options(), points: DataFrame | None = None) -> DataFrame:
     """Jobs with `start` and `prefix`, the bytes to fetch, and `point`, the restart point to decode from or null.
 
-    points: key, block, out, in_byte, bits (and window), for level 0.  One is used if it is past
+    points: key, block, out, in_byte, bits, for level 0 (windows are not looked at).  One is used if it is past
     the tile's beginning and at or before the first row wanted.
     """
     geometry = levels.select("key", "level", "blockw", "blockh", "itemsize")
     j = job.join(geometry, ["key", "level"]).withColumn("row_bytes", F.col("blockw").cast("long") * F.col("itemsize")).withColumn("total", F.col("row_bytes") * F.col("blockh")).withColumn("first_out", F.col("shallow") * F.col("row_bytes"))
     if points is not None:
-        j = as_of(j, points, ["key", "block"], "first_out").withColumn("point", F.when((F.col("level") == 0) & (F.col("point.out") > 0), F.col("point")))
+        j = as_of(j, points.select("key", "block", "out", "in_byte", "bits"), ["key", "block"], "first_out").withColumn("point", F.when((F.col("level") == 0) & (F.col("point.out") > 0), F.col("point")))
         first, length = restart_length(F.col("bytecount"), F.col("point.in_byte"), F.col("point.bits"), F.col("point.out"), (F.col("deep") + 1) * F.col("row_bytes"), F.col("total"), options.margin, options.min_fetch)
         has = F.col("point").isNotNull()
     else:
@@ -108,27 +111,44 @@ def coalesce(planned: DataFrame, options: Options = Options()) -> DataFrame:
 
     A run takes in the next job if the whole stays within max_fetch_bytes and the bytes between
     jobs within the merge budget for each job so far.  What decides depends on the run until
-    then, so each object's jobs are folded in order, in one group; objects are many and small.
+    then, so an object's jobs, one for each tile at most however many requests there are, go
+    through one task in order; it holds one run at a time.
     A job above max_fetch_bytes gives a range of more than that: see too_large().
     """
     budget, most = options.merge_budget, options.max_fetch_bytes
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, run = [], None
-        for r in rows.sort_values(["start", "level", "block"], kind="stable").itertuples(index=False):
-            if run is not None and run["level"] == r.level:
-                merged = r.start + r.prefix - run["start"]
-                if merged <= most and merged - (run["job_bytes"] + r.prefix) <= budget * run["n_jobs"]:
-                    run["length"] = max(run["length"], merged)
-                    run["n_jobs"] += 1
-                    run["job_bytes"] += r.prefix
-                    run["blocks"].append(r.block)
-                    continue
-            run = {"key": r.key, "level": r.level, "group_id": len(out), "start": r.start, "length": r.prefix, "n_jobs": 1, "job_bytes": r.prefix, "blocks": [r.block]}
-            out.append(run)
-        return pd.DataFrame([{**x, "extra_bytes": max(0, x["length"] - x["job_bytes"])} for x in out], columns=[c.split()[0] for c in GROUPS.split(", ")])
-
-    return planned.filter("bytecount > 0").select(*TILE, "start", "prefix").groupBy("key").applyInPandas(fold, GROUPS)
+    names = [c.split()[0] for c in GROUPS.split(", ")]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}[c.split()[1]] for c in GROUPS.split(", ")]
+
+    def fold(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        run, done, n = None, [], 0
+
+        def batch():
+            rows = [(r["key"], r["level"], r["group_id"], r["start"], r["length"], len(r["blocks"]), r["used"], max(0, r["length"] - r["used"]), r["blocks"]) for r in done]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
+        for b in it:
+            for key, level, block, start, prefix in zip(*[c.to_pylist() for c in b.columns]):
+                if run is not None and run["key"] == key and run["level"] == level:
+                    merged = start + prefix - run["start"]
+                    if merged <= most and merged - (run["used"] + prefix) <= budget * len(run["blocks"]):
+                        run["length"] = max(run["length"], merged)
+                        run["used"] += prefix
+                        run["blocks"].append(block)
+                        continue
+                if run is not None:
+                    n = n + 1 if run["key"] == key else 0
+                run = {"key": key, "level": level, "group_id": n, "start": start, "length": prefix, "used": prefix, "blocks": [block]}
+                done.append(run)
+            if len(done) > 1024:
+                done, last = done[:-1], done[-1]
+                yield batch()
+                done = [last]
+        if done:
+            yield batch()
+
+    rows = planned.filter("bytecount > 0").select(*TILE, "start", "prefix")
+    parts = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "key").sortWithinPartitions("key", "start", "level", "block").mapInArrow(fold, GROUPS)
 
 
 def too_large(planned: DataFrame, options: Options = Options()) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -50,6 +52,45 @@ def scan(keys: DataFrame, transport, seed: DataFrame | None = None) -> DataFrame
     return found if seed is None else seed.select(*found.columns).unionByName(found)
 
 
+def retry(objects: DataFrame, transport) -> DataFrame:
+    """objects, with those that could not be described tried again; successes are kept as they are."""
+    good = objects.filter("error is null")
+    return good.unionByName(scan(objects.filter("error is not null").select("key"), transport).select(*good.columns))
+
+
+def details(objects: DataFrame) -> DataFrame:
+    """objects with what follows from their levels: by level empty_tiles, sum_bytes and transform; bounds, dataset name of the key.
+
+    A level's pixel is larger by the width of level 0 over its own.
+    """
+    t = "transform"
+    per_level = F.transform("levels", lambda l: F.struct(
+        l["level"].alias("level"),
+        F.size(F.filter(l["bytecounts"], lambda n: n == 0)).alias("empty_tiles"),
+        F.aggregate(l["bytecounts"], F.lit(0).cast("long"), lambda a, n: a + n).alias("sum_bytes"),
+        F.when(F.col(t).isNotNull(), F.array(F.col(t)[0] * F.col("levels")[0]["width"] / l["width"], F.col(t)[1], F.col(t)[2], F.col(t)[3], F.col(t)[4] * F.col("levels")[0]["height"] / l["height"], F.col(t)[5])).alias("transform"),
+    ))
+    w, h = F.col("levels")[0]["width"], F.col("levels")[0]["height"]
+    bounds = F.when(F.col(t).isNotNull() & F.col("levels").isNotNull(), F.array(F.col(t)[2], F.col(t)[5] + F.col(t)[4] * h, F.col(t)[2] + F.col(t)[0] * w, F.col(t)[5]))
+    return objects.withColumn("details", per_level).withColumn("bounds", bounds)
+
+
+def from_index(spark: SparkSession, index) -> DataFrame:
+    """Objects of an index: a path or list of paths to JSON (as write_json, or one object of records by key), a dict of records by key, or a DataFrame."""
+    if isinstance(index, DataFrame):
+        return index
+    if isinstance(index, dict):
+        shape = StructType.fromDDL(OBJECT)
+        rows = [json.dumps({"key": k} | dict(v)) for k, v in index.items()]
+        text = spark.createDataFrame([(r,) for r in rows], "value string")
+        return text.select(F.from_json("value", shape).alias("o")).select("o.*")
+    whole = spark.read.text(index, wholetext=True)
+    by_key = whole.select(F.from_json("value", f"map<string,struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in StructType.fromDDL(OBJECT))}>>").alias("m"))
+    lines = whole.select(F.explode(F.split("value", "\n")).alias("value")).filter("value <> ''").select(F.from_json("value", StructType.fromDDL(OBJECT)).alias("o")).select("o.*").filter("key is not null and levels is not null")
+    named = by_key.select(F.explode("m").alias("k", "o")).filter("o.levels is not null").select(F.col("k").alias("key"), *[F.col(f"o.{f.name}").alias(f.name) for f in StructType.fromDDL(OBJECT) if f.name != "key"])
+    return lines.unionByName(named)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Objects written by write_json."""
     return spark.read.schema(OBJECT).json(path)

@@ -10,7 +10,7 @@ from rasterlake.functions import codec
 from rasterlake.model import CorruptObject, ObjectChanged, Options, StaleSidecar, TransportError, Unsupported, normalise
 from rasterlake.operators import tiles
 from rasterlake.plans.driver_tables import MemoryTransport
-from rasterlake.reader import Lake
+from rasterlake.reader import Lake, Stats
 from rasterlake.sources import catalog, restart
 from rasterlake.sources.tiff import describe, write
 from rasterlake.sources.transport import FileTransport, HttpTransport, Range, as_range, checked
@@ -75,7 +75,7 @@ REQUESTS += [("i2.tif", 0, 490, 250, 10, 50), ("p3.tif", 0, 250, 200, 300, 400),
 def test_windows_points_and_overviews(lake):
     for r, got in zip(REQUESTS, lake.read(REQUESTS)):
         assert np.array_equal(got, expected(*r)), r
-    assert lake.stats["requests"] > 0 and lake.stats["bytes"] < sum(map(len, FILES.values()))
+    assert lake.stats.requests > 0 and lake.stats.bytes < sum(map(len, FILES.values()))
     assert np.array_equal(lake.sample([(k, x, y) for k, _, x, y, *_ in REQUESTS[:5]]), [expected(k, 0, x, y, 1, 1)[0, 0] for k, _, x, y, *_ in REQUESTS[:5]])
 
 
@@ -105,7 +105,7 @@ def test_refusals(lake):
     ok, no = lake.split([("p1.tif", 0, 0), ("lzw.tif", 1, 1), ("p2.tif", 2, 2)])
     assert [r.req_id for r in ok.orderBy("req_id").collect()] == [0, 2] and no.first().req_id == 1
     seen = lake.read_any([("lzw.tif", 1, 1), ("p1.tif", 5, 5)], fallback=lambda *r: np.full((1, 1), 7.0))
-    assert seen[0][0, 0] == 7 and seen[1][0, 0] == IMAGES["p1.tif"][0][5, 5] and lake.stats["delegated"] == 1
+    assert seen[0][0, 0] == 7 and seen[1][0, 0] == IMAGES["p1.tif"][0][5, 5] and lake.stats.delegated == 1
     for bad in (("a", 1), ("", 0, 0), ("a", 1.5, 0), ("a", True, 0), (5, 0, 0)):
         with pytest.raises(ValueError):
             normalise(bad)
@@ -144,7 +144,7 @@ def test_mutated_headers_are_refused_or_read(spark):
             pass
 
 
-def test_restart_points_give_the_same_values(spark, lake):
+def test_restart_points_give_the_same_values(spark, lake, tmp_path):
     big = {"big.tif": write([IMAGES["big.tif"][0]], 512, predictor=2, level=1)}
     t = MemoryTransport(big)
     objects = catalog.scan(spark.createDataFrame([("big.tif",)], "key string"), t).cache()
@@ -157,14 +157,31 @@ def test_restart_points_give_the_same_values(spark, lake):
     # A tile is read once: one also asked for its first row is decoded from its start, and near ranges
     # merge into one from there to the last tile, which the restart point of that last one cannot shorten.
     for req, restarted, merged in ((deep, 2, False), (deep + [("big.tif", 0, 0, 0, 4, 4)], 1, True)):
+        plain.stats, fast.stats = Stats(), Stats()
         a, b = plain.read(req), fast.read(req)
-        assert all(np.array_equal(x, y) for x, y in zip(a, b)) and fast.stats["restarted"] == restarted
-        assert (fast.stats["requests"], fast.stats["bytes"]) == (1, plain.stats["bytes"]) if merged else fast.stats["bytes"] < plain.stats["bytes"]
+        assert all(np.array_equal(x, y) for x, y in zip(a, b)) and fast.stats.restarted == restarted and fast.stats.sidecars_loaded == 1
+        assert (fast.stats.requests, fast.stats.bytes) == (1, plain.stats.bytes) if merged else fast.stats.bytes < plain.stats.bytes
     assert restart.index_bytes(points).first().bytes > 0
     from pyspark.sql import functions as F
 
     for change in ({"identity": F.lit("etag:other")}, {"source_size": F.col("source_size") + 1}, {"window_crc": F.col("window_crc") + 1}, {"bits": F.lit(9)}):
         assert restart.usable(points.withColumns(change), objects).count() == 0
+        # a lake falls back by itself, and counts why
+        other = Lake(spark, objects, t, Options(min_fetch=64), points.withColumns(change))
+        assert all(np.array_equal(x, y) for x, y in zip(other.read(deep), plain.read(deep))) and other.stats.restarted == 0
+        assert (other.stats.stale_sidecars, other.stats.invalid_sidecars) == ((1, 0) if {"identity", "source_size"} & set(change) else (0, 1))
+    assert restart.missing(need, points).count() == 4 - points.select("block").distinct().count()
+    # the caller's own name for the content
+    named = spark.createDataFrame([("big.tif", "sha:1")], "key string, identity string")
+    own = Lake(spark, objects, t, Options(min_fetch=64), points.withColumn("identity", F.lit("sha:1")), named)
+    assert np.array_equal(own.read(deep)[0], plain.read(deep)[0]) and own.stats.restarted == 2
+    # as files and back
+    written = restart.write_sbx(points, str(tmp_path)).collect()
+    (tmp_path / "bad.sbx").write_bytes(b"SBX3 but broken")
+    back = restart.read_sbx(spark, str(tmp_path), str(tmp_path))
+    assert [r.key for r in written] == ["big.tif"] and back.filter("error is not null").first().key == "bad"
+    cols = ["key", "block", "seq", "out", "in_byte", "bits", "window_crc", "source_size", "layout_hash", "identity"]
+    assert sorted(map(tuple, back.filter("error is null").select(cols).collect())) == sorted(map(tuple, points.select(cols).collect()))
 
 
 def test_restart_codec():
@@ -192,6 +209,13 @@ def test_restart_codec():
             restart.from_sbx(bytes(m))
         except (ValueError, StaleSidecar):
             pass
+    side = restart.Sidecar(kept)
+    assert side.best(3, points[-1].out) == points[-1] and side.best(3, 0) is None and side.points(9) == []
+    old = b"SBX2" + kept[4:28] + kept[30 + 6 : 30 + 6 + 32]  # no identity: of an unknown version
+    with pytest.raises(StaleSidecar):
+        restart.Sidecar(b"SBX2" + bytes(24)).check(identity="etag:1")
+    with pytest.raises(ValueError):
+        restart.Sidecar(old[:20])
     h = 0xCBF29CE484222325
     for v in (1, 2, 3, 4):
         for b in v.to_bytes(8, "little"):
@@ -262,3 +286,66 @@ def test_http_transport():
     with pytest.raises(TransportError):
         t.get_range("secret", 0, 5)
     server.shutdown()
+
+
+def test_values_keep_their_type(spark):
+    deep = (np.arange(300 * 300).reshape(300, 300) + 2**60).astype("i8")
+    files = dict(FILES) | {"i8.tif": write([deep], 256)}
+    t = MemoryTransport(files)
+    own = Lake(spark, catalog.scan(spark.createDataFrame([(k,) for k in ("i8.tif", "p3.tif", "p1.tif", "sparse.tif")], "key string"), t), t)
+    got = own.read([("i8.tif", 0, 250, 250, 20, 20), ("p3.tif", 0, 0, 0, 3, 3), ("p1.tif", 0, 0), ("sparse.tif", 0, 0, 0, 2, 2)])
+    assert [a.dtype for a in got] == [np.dtype(x) for x in ("i8", "f4", "u2", "u1")] and np.array_equal(got[0], deep[250:270, 250:270])
+    assert own.sample([("i8.tif", 299, 299)])[0] == deep[-1, -1]
+
+
+def test_failed_requests_are_rows(spark, lake):
+    other = MemoryTransport(dict(FILES) | {"p1.tif": FILES["p1.tif"] + b"x"})
+    broken = Lake(spark, lake.objects, other)
+    rows = broken.sample_frame([("p1.tif", 0, 0), ("p2.tif", 3, 3), ("p1.tif", 900, 900), ("p2.tif", 700, 7)]).orderBy("req_id").collect()
+    assert [r.req_id for r in rows] == [0, 1, 2, 3] and [r.error is None for r in rows] == [False, True, False, True]
+    assert rows[0].error.startswith("ObjectChanged") and rows[0].value is None and rows[1].value == IMAGES["p2.tif"][0][3, 3]
+
+
+def test_statistics_add_up(spark, lake):
+    own = Lake(spark, lake.objects, lake.transport, Options(min_fetch=512))
+    own.read([("p1.tif", 0, 0), ("p1.tif", 5, 5), ("p2.tif", 1000, 1000)])
+    one = own.stats.as_dict()
+    assert one["blocks"] == 2 and one["groups"] == one["requests"] - one["undershoots"] == 2 and one["retries"] == 0
+    assert one["gain_over_whole_blocks"] == round(one["whole_bytes"] / one["bytes"], 3) and one["blocks_per_request"] == round(2 / one["requests"], 2)
+    own.read([("p1.tif", 0, 0)])
+    assert own.stats.blocks == 3 and Stats().as_dict()["blocks_per_request"] is None
+
+
+def test_what_cannot_be_read_goes_to_a_fallback_on_the_executors(spark, lake):
+    seen = lake.read_any_frame([("lzw.tif", 1, 1), ("p1.tif", 5, 5), ("absent.tif", 0, 0)], fallback=lambda key, level, x, y, w, h: np.full((h, w), 7, "u1") if key == "lzw.tif" else 1 / 0)
+    rows = {r.req_id: r for r in seen.collect()}
+    assert rows[0].value == 7 and rows[1].value == IMAGES["p1.tif"][0][5, 5] and "ZeroDivisionError" in rows[2].error
+
+
+def test_objects_are_described_again_after_a_failure(spark):
+    bad = MemoryTransport({"p1.tif": b"not yet", "p2.tif": FILES["p2.tif"]})
+    keys = spark.createDataFrame([("p1.tif",), ("p2.tif",)], "key string")
+    first = Lake(spark, spark.createDataFrame(catalog.scan(keys, bad).collect(), catalog.OBJECT), MemoryTransport(FILES))
+    assert not first.supports("p1.tif") and first.supports("p2.tif")
+    assert first.retry().supports("p1.tif")
+
+
+def test_catalogs_from_elsewhere(spark, lake, tmp_path):
+    import json as _json
+
+    records = {r.key: {k: v for k, v in r.asDict(recursive=True).items() if k != "key"} for r in lake.objects.filter("key in ('p1.tif', 'sparse.tif')").collect()}
+    want = sorted(map(str, lake.objects.filter("key in ('p1.tif', 'sparse.tif')").collect()))
+    assert sorted(map(str, catalog.from_index(spark, records).collect())) == want
+    (tmp_path / "i.json").write_text(_json.dumps(records))
+    assert sorted(map(str, catalog.from_index(spark, str(tmp_path / "i.json")).select(lake.objects.columns).collect())) == want
+    d = {r.key: r for r in catalog.details(lake.objects.filter("levels is not null")).collect()}
+    assert d["sparse.tif"].details[0].empty_tiles == 2 and d["p1.tif"].details[1].sum_bytes == sum(records["p1.tif"]["levels"][1]["bytecounts"])
+
+
+def test_a_tile_that_very_many_ask_for_is_dealt_to_several_tasks(spark, lake, monkeypatch):
+    from rasterlake import reader
+
+    monkeypatch.setattr(reader, "ITEMS", 10)
+    points = [("p1.tif", k % 200, k % 150) for k in range(100)]
+    own = Lake(spark, lake.objects, lake.transport)
+    assert np.array_equal(own.sample(points), [IMAGES["p1.tif"][0][y, x] for _, x, y in points]) and own.stats.blocks == 10
