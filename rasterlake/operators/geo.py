@@ -102,10 +102,14 @@ def gradient(cells: DataFrame, mx: float, my: float) -> DataFrame:
 
 
 def cost_surface(heights: DataFrame, cover: DataFrame, mx: float, my: float, nodata: float | None) -> DataFrame:
-    """Travel cost of cells: heights (block, x, y, v, wgx, wgy) with the class of the cover cell (wgx, wgy, kind) that holds their centre."""
+    """Travel cost of cells: heights (block, x, y, v, wgx, wgy) with the class of the cover cell (wgx, wgy, kind) that holds their centre.
+
+    A height without a cover cell ends the job: a hole would look like a way.
+    """
     bad = bad_height(F.col("raw"), F.lit(nodata).cast("double"))
     c = heights.withColumn("raw", F.col("v")).withColumn("v", F.when(~bad, F.col("v")))
-    g = gradient(c, mx, my).join(cover, ["wgx", "wgy"])
+    g = gradient(c, mx, my).join(cover.withColumn("_there", F.lit(True)), ["wgx", "wgy"], "left")
+    g = g.withColumn("kind", F.when(F.col("_there"), F.col("kind")).otherwise(F.raise_error(F.lit("the land cover does not span the heights")).cast("int")))
     slope = slope_degrees(F.col("gx"), F.col("gy"))
     return g.select("block", "x", "y", slope.alias("slope"), cell_cost(F.col("kind"), slope, bad).cast("float").alias("cost"))
 

@@ -1,7 +1,8 @@
 """Raster-shaped tables derived from the driver's star schema, by whole-number formulas, in Spark and as SQL.
 
 An object per supplier with two levels (121 and 36 tiles), a window per order, a point per line
-item, a request log and runs from events, pixels from embeddings.
+item, a request log and runs from events, pixels from embeddings, scenes and image stacks from
+suppliers.
 """
 
 from __future__ import annotations
@@ -137,6 +138,70 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.posexplode("embedding").alias("x", "f")).select("row_id", F.col("x").cast("long").alias("x"), F.floor(F.col("f").cast("double") * 1000).cast("long").alias("v"))
 
 
+def points(spark: SparkSession, sf: str) -> DataFrame:
+    """A pixel of level 0 for each line item; req_id is not unique where line items aren't."""
+    n = count_of(spark, sf, "supplier")
+    k, p = F.col("l_orderkey"), F.col("l_partkey")
+    return table(spark, sf, "lineitem").select((k * 8 + F.col("l_linenumber")).alias("req_id"), F.concat(F.lit("obj/"), (F.col("l_suppkey") % n).cast("string")).alias("key"), F.lit(0).alias("level"), (p * 7919 % WIDTH[0]).cast("int").alias("x"), (k * 104729 % WIDTH[0]).cast("int").alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h"))
+
+
+def scenes(spark: SparkSession, sf: str) -> DataFrame:
+    """Images of three datasets over a square of ten degrees."""
+    s = F.col("s_suppkey")
+    of = F.element_at(F.array(F.lit("dem"), F.lit("wc"), F.lit("s2")), (s % 3 + 1).cast("int"))
+    key = F.when(s % 3 == 2, F.concat(F.lit("s2/T"), (s % 5).cast("string"), F.lit("/d"), F.lpad(F.floor(s / 15).cast("string"), 3, "0"), F.lit("/B04.tif"))).otherwise(F.concat(of, F.lit("/"), s.cast("string"), F.lit(".tif")))
+    w, south = (F.floor(s / 3) % 4 * 2.5).cast("double"), (F.floor(s / 12) % 4 * 2.5).cast("double")
+    rows = table(spark, sf, "supplier").select(of.alias("dataset"), key.alias("key"), w.alias("w"), south.alias("s"), (w + 3).alias("e"), (south + 3).alias("n"), F.lit(1000).cast("long").alias("width"), F.lit(1000).cast("long").alias("height"))
+    return rows.groupBy("dataset", "key").agg(*[F.min(c).alias(c) for c in ("w", "s")], *[F.min(c).alias(c) for c in ("e", "n", "width", "height")])
+
+
+def stack(spark: SparkSession, sf: str) -> DataFrame:
+    """Images of places at dates, in two bands of which the second is half as large and sometimes missing."""
+    s = F.col("s_suppkey")
+    second = F.floor(s / 4) % 2 == 1
+    key = F.concat(F.lit("s2ts/T"), (s % 4).cast("string"), F.lit("/2024-"), F.lpad(F.floor(s / 8).cast("string"), 3, "0"), F.when(second, "/SCL.tif").otherwise("/B04.tif"))
+    size = F.when(second, 500).otherwise(1000).cast("long")
+    return table(spark, sf, "supplier").select(key.alias("key"), size.alias("width"), size.alias("height"))
+
+
+def stack_points(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col("c_custkey")
+    return table(spark, sf, "customer").select(c.alias("pt"), (c * 37 % 1000).alias("x"), (c * 91 % 1000).alias("y"))
+
+
+def gate_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored tiles with the bytes that a row of theirs needs."""
+    t = tiles(spark, sf).filter("level = 0")
+    b = F.col("block")
+    need = F.floor(F.col("bytecount") * (20 + (F.col("sid") * 31 + b * 17) % 80) / 100)
+    return t.select(F.when(b % 3 == 0, "SCL").otherwise("B04").alias("source"), "key", "block", "bytecount", need.alias("need"), ((F.col("sid") * 7 + b * 13) % 1024).alias("row"), F.lit(1024).alias("blockh"))
+
+
+def gate_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """What a row of a stored tile costs with restart points of four spans."""
+    g = gate_tiles(spark, sf).filter("bytecount > 0")
+    span = F.explode(F.array(*[F.lit(k * 65536) for k in (1, 2, 4, 8)])).alias("span")
+    g = g.select(F.concat_ws("/", "key", F.col("block").cast("string")).alias("tile"), F.col("bytecount").alias("whole"), F.col("need").alias("prefix"), span)
+    points = F.floor(2097152 / F.col("span")) - 1
+    fetch = F.floor(F.col("whole") * F.col("span") / 2097152)
+    return g.select("tile", "span", "whole", "prefix", fetch.alias("fetch"), F.col("span").cast("long").alias("decode"), (points * 32784).alias("index"), points.alias("points"), F.lit(32768).cast("long").alias("window"))
+
+
+def passes(spark: SparkSession, sf: str) -> DataFrame:
+    """runs() as passes of run files: cold and warm, some cut short, with minima and versions."""
+    i = F.col("run_file")
+    r = runs(spark, sf).withColumn("phase", F.when(i % 4 == 3, "warm").otherwise("cold")).withColumn("truncated", i % 50 == 1)
+    r = r.withColumn("min_total_bytes", F.when(i % 3 > 0, i * 10 + 1)).withColumn("reads_total", i % 1000)
+    return r.withColumn("versions", F.create_map(F.lit("gdal"), F.concat(F.lit("3."), (i % 5).cast("string")), F.lit("curl"), F.lit("8"))).withColumn("http_versions", F.create_map(F.concat(F.lit("HTTP/"), (i % 3).cast("string")), i))
+
+
+def session_events(e: DataFrame) -> DataFrame:
+    """events as a proxy's records: of each hundred the first opens a session and the last but one closes it."""
+    i = F.col("event_id")
+    kind = F.when(i % 100 == 0, "session_start").when(i % 100 == 98, "session_end").otherwise("req")
+    return e.select(F.lit("proxy").alias("source"), kind.alias("record"), i.cast("double").alias("ts"), F.concat(F.lit("s"), F.floor(i / 100).cast("string")).alias("label"), F.concat(F.lit("c"), (F.col("user_id") % 50).cast("string")).alias("conn"), F.col("event_type").alias("kind"), F.floor(F.abs("value") * 1000).cast("long").alias("resp_body_bytes"))
+
+
 class MemoryTransport:
     """A few small objects held in memory; for examples and tests."""
 
@@ -184,5 +249,12 @@ v_win AS (SELECT c_custkey AS win_id, c_custkey * 53 % 430 AS gx, c_custkey * 97
 v_vertex AS (SELECT o_orderkey % 500 AS line_id, o_orderkey AS seq, 5 + (o_orderkey * 7919 % 1000) / 2000.0::DOUBLE AS lon, 45 + (o_orderkey * 104729 % 1000) / 2000.0::DOUBLE AS lat FROM orders),
 v_cell AS (SELECT p_partkey // 100 AS block, p_partkey % 10 AS x, (p_partkey // 10) % 10 AS y, CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE (p_partkey * 7919 % 1000) / 4.0::DOUBLE END AS v FROM part),
 v_cover AS (SELECT i % 4 AS wgx, i // 4 AS wgy, [10, 20, 30, 40, 50, 60, 70, 80, 90, 95, 100, 0, 7][(i % 13 + 1)::INT] AS kind FROM (SELECT unnest(range(16)) AS i)),
-v_pixel AS (SELECT vec_id AS row_id, unnest(range(64)) AS x, floor(unnest(embedding)::DOUBLE * 1000)::BIGINT AS v FROM embeddings)
+v_pixel AS (SELECT vec_id AS row_id, unnest(range(64)) AS x, floor(unnest(embedding)::DOUBLE * 1000)::BIGINT AS v FROM embeddings),
+v_point AS (SELECT l_orderkey * 8 + l_linenumber AS req_id, 'obj/' || (l_suppkey % n) AS key, 0::BIGINT AS level, l_partkey * 7919 % 10980 AS x, l_orderkey * 104729 % 10980 AS y FROM lineitem, nsup),
+v_scene AS (SELECT dataset, key, min(w) AS w, min(s) AS s, min(w) + 3 AS e, min(s) + 3 AS n, 1000::BIGINT AS width, 1000::BIGINT AS height FROM (SELECT ['dem', 'wc', 's2'][(s_suppkey % 3 + 1)::INT] AS dataset, CASE WHEN s_suppkey % 3 = 2 THEN 's2/T' || (s_suppkey % 5) || '/d' || lpad((s_suppkey // 15)::VARCHAR, 3, '0') || '/B04.tif' ELSE ['dem', 'wc', 's2'][(s_suppkey % 3 + 1)::INT] || '/' || s_suppkey || '.tif' END AS key, (s_suppkey // 3 % 4 * 2.5)::DOUBLE AS w, (s_suppkey // 12 % 4 * 2.5)::DOUBLE AS s FROM supplier) GROUP BY dataset, key),
+v_stack AS (SELECT 's2ts/T' || (s_suppkey % 4) || '/2024-' || lpad((s_suppkey // 8)::VARCHAR, 3, '0') || CASE WHEN s_suppkey // 4 % 2 = 1 THEN '/SCL.tif' ELSE '/B04.tif' END AS key, CASE WHEN s_suppkey // 4 % 2 = 1 THEN 500 ELSE 1000 END::BIGINT AS width FROM supplier),
+v_spt AS (SELECT c_custkey AS pt, c_custkey * 37 % 1000 AS x, c_custkey * 91 % 1000 AS y FROM customer),
+v_gate AS (SELECT CASE WHEN block % 3 = 0 THEN 'SCL' ELSE 'B04' END AS source, key, block, bytecount, bytecount * (20 + (sid * 31 + block * 17) % 80) // 100 AS need, (sid * 7 + block * 13) % 1024 AS "row" FROM v_tile WHERE level = 0),
+v_cost AS (SELECT key || '/' || block AS tile, span, bytecount AS whole, need AS prefix, bytecount * span // 2097152 AS "fetch", span AS decode, (2097152 // span - 1) * 32784 AS "index", 2097152 // span - 1 AS points, 32768::BIGINT AS "window" FROM v_gate, (SELECT unnest([65536, 131072, 262144, 524288])::BIGINT AS span) WHERE bytecount > 0),
+v_pass AS (SELECT *, CASE WHEN run_file % 4 = 3 THEN 'warm' ELSE 'cold' END AS phase, run_file % 50 = 1 AS truncated, CASE WHEN run_file % 3 > 0 THEN run_file * 10 + 1 END AS min_total_bytes, run_file % 1000 AS reads_total FROM v_run)
 """

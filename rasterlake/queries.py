@@ -100,8 +100,8 @@ def restart_asof(spark, sf):
     return tiles.fetch_plan(_jobs(spark, sf), D.levels(spark, sf), points=D.restart(spark, sf)).select("key", "level", "block", F.col("point.out").alias("point_out"))
 
 
-@query("SELECT p.key, p.level, p.block, CASE WHEN bytecount = 0 THEN 0 WHEN po IS NULL THEN start ELSE \"offset\" + first END AS start, CASE WHEN bytecount = 0 THEN 0 WHEN po IS NULL THEN prefix ELSE trunc(least((bytecount - first)::DOUBLE, greatest(16384.0::DOUBLE, bytecount * (((deep + 1) * 2048 - po)::DOUBLE / 2097152 + 0.03::DOUBLE))))::BIGINT END AS prefix FROM p",
-       ", a AS (SELECT j.key, j.level, j.block, max(r.\"out\") AS po FROM v_job j JOIN v_restart r ON r.key = j.key AND r.block = j.block AND j.level = 0 AND r.\"out\" <= j.shallow * 2048 GROUP BY j.key, j.level, j.block), p AS (SELECT v.*, a.po, r.in_byte - CASE WHEN r.bits > 0 THEN 1 ELSE 0 END AS first FROM v_fetch v LEFT JOIN a USING (key, level, block) LEFT JOIN v_restart r ON r.key = v.key AND r.block = v.block AND r.\"out\" = a.po)")
+@query("SELECT key, level, block, CASE WHEN bytecount = 0 THEN 0 WHEN po IS NULL THEN start ELSE \"offset\" + first END AS start, CASE WHEN bytecount = 0 THEN 0 WHEN po IS NULL THEN prefix ELSE trunc(least((bytecount - first)::DOUBLE, greatest(16384.0::DOUBLE, bytecount * (((deep + 1) * 2048 - po)::DOUBLE / 2097152 + 0.03::DOUBLE))))::BIGINT END AS prefix FROM p",
+       ", m AS MATERIALIZED (SELECT * FROM v_fetch), p AS (SELECT m.*, CASE WHEN k > 0 THEN k * 262144 END AS po, (bytecount * k) // 8 - CASE WHEN (block + k) % 8 > 0 THEN 1 ELSE 0 END AS first FROM (SELECT *, CASE WHEN level = 0 AND bytecount > 0 THEN least(7, shallow * 2048 // 262144) ELSE 0 END AS k FROM m) m)")
 def restart_plan(spark, sf):
     """Bytes to fetch with restart points."""
     return tiles.fetch_plan(_jobs(spark, sf), D.levels(spark, sf), points=D.restart(spark, sf)).select("key", "level", "block", "start", "prefix")
@@ -256,7 +256,7 @@ def range_header_parse(spark, sf):
     r = F.col("req") % 4
     text = F.when(r == 0, "none").when(r == 1, F.concat(F.lit("bytes="), F.col("lo").cast("string"), F.lit("-"), F.col("hi").cast("string"), F.lit(",5-6"))).when(r == 2, F.concat(F.lit("bytes="), F.col("lo").cast("string"), F.lit("-"))).otherwise(F.concat(F.lit("bytes=-"), F.col("resp_body_bytes").cast("string")))
     lo, hi = C.range_bounds(text, F.lit(1000000).cast("long"))
-    return D.log(spark, sf).filter("hi >= 0").select("req", lo.alias("lo"), hi.alias("hi"))
+    return D.log(spark, sf).select("req", lo.alias("lo"), hi.alias("hi"))
 
 
 @query("SELECT (SELECT sum(ih)::BIGINT FROM h) AS header, coalesce(sum(CASE WHEN need THEN least(size, got) END), 0)::BIGINT AS needed, coalesce(sum(CASE WHEN need THEN greatest(0, got - size) END), 0)::BIGINT AS redundant, coalesce(sum(CASE WHEN NOT need THEN got END), 0)::BIGINT AS unneeded, (SELECT sum(greatest(0, hi - lo + 1 - ih - it))::BIGINT FROM h) AS padding, count(*) AS blocks, count(*) FILTER (got > size) AS blocks_refetched FROM m",
@@ -349,3 +349,6 @@ def sample_timeseries(spark, sf):
     p = D.table(spark, sf, "customer").select(c, F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
     req = p.select((c * 10 + F.col("k")).alias("req_id"), F.concat(F.lit("day"), F.col("k").cast("string"), F.lit(".tif")).alias("key"), F.lit(0).alias("level"), (c * 37 % 600).cast("int").alias("x"), (c * 91 % 600).cast("int").alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h"))
     return lake.sample_frame(req).select("req_id", "value")
+
+
+from . import study_queries  # noqa: E402, F401  (registers its queries)
