@@ -1,20 +1,23 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-A text goes through the composition of three machines: the normaliser (a space becomes a word
-mark, one is put in front), the lexicon (a trie of pieces that writes a piece's id; characters
-without a piece become bytes) and, for merge (BPE) models, a machine over neighbouring pieces.
-Its arc from piece a to piece b weighs 0 if merging the text of both gives just a and b, else
+A model is compiled into machines over characters: the normaliser (its rewritings of characters
+and spaces, longest match first), the lexicon (a trie of pieces, whose final states write a
+piece's id at minus its score, or at nothing in merge models), byte fallback (an arc for each
+character without a piece) and, for merge (BPE) models, a machine over neighbouring pieces: its
+arc from piece a to piece b weighs 0 if merging the text of both gives just a and b, else
 infinity.  A text's merge encoding is the one path of finite weight, since an encoding is the
-merge result if each pair of neighbours is [see `pair`].  For unigram models, an arc weighs
-minus its piece's score.  Either way the path sought is the shortest in the tropical semiring.
+merge result if each pair of neighbours is [see `pair`].
 
-No piece has a word mark after another character, so the composed machine is back in its first
-state at each word: words are solved one by one and each worker keeps the answers.
+A text goes through the normaliser; what comes out is composed with the others as it is walked
+through, and the encoding is the shortest path in the tropical semiring.  No piece has a word
+mark after another character, so the composed machine is back in its first state at each word:
+words are solved one by one and each worker keeps the answers.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -29,24 +32,99 @@ from .common import batches, text_of
 
 MARK = "▁"
 WORDS_KEPT = 700_000
+LONGEST_KEPT = 64  # characters of a word whose answer is kept
 INF = float("inf")
 _kept: dict[str, Transducer] = {}
 
 
+class Machine:
+    """A transducer over characters in the form of a trie: arcs by state; what a final state writes, and its weight."""
+
+    def __init__(self, entries: dict[str, tuple[object, float]]):
+        self.arcs: list[dict[str, int]] = [{}]
+        self.out: list = [None]
+        self.weight = [INF]
+        for text, (out, weight) in entries.items():
+            state = 0
+            for c in text:
+                to = self.arcs[state].get(c)
+                if to is None:
+                    to = self.arcs[state][c] = len(self.arcs)
+                    self.arcs.append({})
+                    self.out.append(None)
+                    self.weight.append(INF)
+                state = to
+            self.out[state], self.weight[state] = out, weight
+        # as a rewriting: characters at once if no source is longer, else the longest source at each place
+        self.table = {ord(k): out for k, (out, _) in entries.items()} if all(len(k) == 1 for k in entries) else None
+        alone = self.table is not None and len(entries) < 4 and not any(k in out for k in entries for out, _ in entries.values())
+        self.few = [(k, out) for k, (out, _) in entries.items()] if alone else None
+        self.first = None if self.table is not None else re.compile("[" + "".join(map(re.escape, self.arcs[0])) + "]") if entries else None
+
+    def rewrite(self, text: str) -> str:
+        """The text with each longest source replaced by what the machine writes for it."""
+        if self.few is not None:
+            for source, out in self.few:
+                text = text.replace(source, out)
+            return text
+        if self.table is not None:
+            return text.translate(self.table)
+        out, at, arcs = [], 0, self.arcs
+        for found in self.first.finditer(text):
+            start = found.start()
+            if start < at:
+                continue
+            state, end, best = 0, start, None
+            while end < len(text) and (state := arcs[state].get(text[end], -1)) >= 0:
+                end += 1
+                if self.out[state] is not None:
+                    best = end, self.out[state]
+            if best:
+                out += [text[at:start], best[1]]
+                at = best[0]
+        out.append(text[at:])
+        return "".join(out)
+
+
+def charsmap(blob: bytes) -> dict[str, str]:
+    """Sources and replacements of a precompiled map: a double-array trie of UTF-8 and, after it, the replacements."""
+    size = struct.unpack_from("<I", blob)[0]
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4), blob[4 + size :]
+    labels = np.arange(1, 256)
+    offset = lambda u: (int(u) >> 10) << ((int(u) & 0x200) >> 6)
+    out, todo = {}, [(offset(units[0]), b"")]
+    while todo:
+        at, key = todo.pop()
+        children = at ^ labels
+        children, own = children[children < len(units)], labels[children < len(units)]
+        for label, child in zip(own[(units[children] & 0x800000FF) == own].tolist(), children[(units[children] & 0x800000FF) == own].tolist()):
+            unit, name = units[child], key + bytes([label])
+            to = child ^ offset(unit)
+            if int(unit) >> 8 & 1:
+                place = int(units[to]) & 0x7FFFFFFF
+                out[name.decode()] = texts[place : texts.index(b"\0", place)].decode()
+            todo.append((to, name))
+    return out
+
+
 class Transducer:
-    """The composed machine of one model file."""
+    """The machines of one model file (or its bytes)."""
 
-    def __init__(self, path: str):
+    def __init__(self, model_file: str | bytes):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
-        spec = model.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("only models that normalise by nothing but word marks are compiled")
-        kind = pb.ModelProto.SentencePiece
-        self.front = spec.add_dummy_prefix
+        if isinstance(model_file, bytes):
+            model.ParseFromString(model_file)
+        else:
+            with open(model_file, "rb") as f:
+                model.ParseFromString(f.read())
+        spec, kind = model.normalizer_spec, pb.ModelProto.SentencePiece
+        if model.trainer_spec.treat_whitespace_as_suffix or not spec.escape_whitespaces or model.trainer_spec.model_type not in (1, 2) or any(p.type == kind.USER_DEFINED for p in model.pieces):
+            raise ValueError("only unigram and merge models with word marks in front and no pieces of the user's own are compiled")
+        self.front, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
+        rules = charsmap(spec.precompiled_charsmap) if spec.precompiled_charsmap else {}
+        self.normaliser = Machine({k: (v.replace(" ", MARK), 0.0) for k, v in ({" ": MARK} | rules).items()})
         self.names = [p.piece for p in model.pieces]
         self.piece = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kind.NORMAL}
         self.score = [p.score for p in model.pieces]
@@ -56,14 +134,19 @@ class Transducer:
         self.merges = model.trainer_spec.model_type == 2
         if any(MARK in p.lstrip(MARK) for p in self.piece):
             raise ValueError("a piece goes on after a word mark")
-        self.lines = "\n" not in "".join(self.piece)
-        self.longest = max(map(len, self.piece), default=1)
         self.beside = {x for p in self.piece for x in zip(p, p[1:])}
+        self.alone = {c for c in ("\n", "\t") if self.byte_id and not any(c in x for x in self.beside)}
         self.words: dict[str, bytes] = {}
-        self.runs: dict[int, list[int]] = {}
         self.pairs: dict[int, bool] = {}
         if self.merges:
             self._order()
+            self.lexicon = Machine({p: (r, 0.0) for p, r in self.rank.items()})
+        else:
+            self.id = list(range(len(self.names)))
+            self.lexicon = Machine({p: (i, -self.score[i]) for p, i in self.piece.items()})
+        # a character without a piece costs more than any piece
+        self.fallback = 0.0 if self.merges else 10.0 - min([self.score[i] for i in self.piece.values()] or [0.0])
+        self.cutter = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     @classmethod
     def of(cls, path: str) -> Transducer:
@@ -72,7 +155,7 @@ class Transducer:
         return _kept[path]
 
     def _merge(self, symbols: list[str]) -> list[str]:
-        """Merging by itself: again and again the best-scored neighbours, leftmost first."""
+        """Merging by itself, to find which pieces it makes: again and again the best-scored neighbours, leftmost first."""
         left, right = list(range(-1, len(symbols) - 1)), list(range(1, len(symbols) + 1))
         heap: list[tuple[float, int, str]] = []
 
@@ -99,7 +182,7 @@ class Transducer:
     def _order(self) -> None:
         """Pieces in the order in which merging makes them, single characters first, and their halves."""
         base = sorted(p for p in self.piece if len(p) == 1)
-        made = sorted((p for p in self.piece if len(p) > 1 and p.strip(MARK)), key=lambda p: (-self.score[self.piece[p]], self.piece[p]))
+        made = sorted((p for p in self.piece if len(p) > 1), key=lambda p: (-self.score[self.piece[p]], self.piece[p]))
         whole = [p for p in made if self._merge(list(p)) == [p]]  # others never come out of merging
         self.rank = {p: r for r, p in enumerate([*base, *whole])}
         self.text = [*base, *whole]
@@ -137,101 +220,86 @@ class Transducer:
                     if a == limit:
                         return True
 
-    def _run(self, n: int) -> list[int]:
-        """n word marks in a row."""
-        if n not in self.runs:
-            ids = [self.piece[s] for s in self._merge([MARK] * n)]
-            if len(self.runs) > 4096 or n > 4096:
-                return ids
-            self.runs[n] = ids
-        return self.runs[n]
-
-    def _fallback(self, c: str) -> list[int]:
-        return [self.byte_id[b] for b in c.encode()] if self.byte_id else [self.unknown]
+    def _bytes(self, c: str) -> list[int]:
+        """What the fallback machine writes for a character."""
+        return [self.byte_id[b] for b in c.encode("utf-8", "replace")] if self.byte_id else [self.unknown]
 
-    def _merged(self, word: str) -> list[int]:
-        """The path of weight 0 through a word, for merge models.
+    def shortest(self, word: str) -> list[int]:
+        """Ids along the tropical shortest path through a normalised word composed with lexicon, fallback and pairs.
 
-        One state can be reached at each place: of the arcs into it, one joins a path of weight 0.
+        A state of the composition is a place in the word and, in merge models, the piece before
+        it; of those at one place at most one is at a finite distance, so one is kept for each.
+        Of equal paths the first found, whose last piece is the longest, stays.
         """
-        n, rank, pairs, longest = len(word), self.rank, self.pairs, self.longest
-        came, last = [0] * (n + 1), [-1] * (n + 1)  # -1: nothing that could merge
-        for end in range(1, n + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                b = rank.get(word[start:end])
-                if b is None:
-                    continue
-                a = last[start]
-                if a >= 0:
-                    key = a << 20 | b
-                    ok = pairs.get(key)
-                    if ok is None:
-                        ok = pairs[key] = self.pair(a, b)
-                    if not ok:
-                        continue
-                came[end], last[end] = start, b
-                break
-            else:
-                came[end] = end - 1
-        out, end = [], n
+        n, arcs, out, weight, pairs, merges = len(word), self.lexicon.arcs, self.lexicon.out, self.lexicon.weight, self.pairs, self.merges
+        dist, came, last = [0.0, *[INF] * n], [0] * (n + 1), [-1] * (n + 1)  # last -1: nothing, or bytes
+        root = arcs[0]
+        for start in range(n):
+            d = dist[start]
+            if d == INF:
+                continue
+            state = root.get(word[start])
+            if state is None or out[state] is None:  # no piece for the character itself
+                if d + self.fallback < dist[start + 1]:
+                    dist[start + 1], came[start + 1], last[start + 1] = d + self.fallback, start, -1
+            a, end = last[start], start + 1
+            while state is not None:
+                b = out[state]
+                if b is not None and d + weight[state] < dist[end]:
+                    if merges and a >= 0:
+                        key = a << 20 | b
+                        ok = pairs.get(key)
+                        if ok is None:
+                            ok = pairs[key] = self.pair(a, b)
+                    else:
+                        ok = True
+                    if ok:
+                        dist[end], came[end], last[end] = d + weight[state], start, b
+                if end == n:
+                    break
+                state = arcs[state].get(word[end])
+                end += 1
+        ids, end = [], n
         while end:
             if last[end] < 0:
-                out += self._fallback(word[end - 1])[::-1]
+                ids += self._bytes(word[end - 1])[::-1]
             else:
-                out.append(self.id[last[end]])
+                ids.append(self.id[last[end]])
             end = came[end]
-        out.reverse()
-        return out
+        ids.reverse()
+        return ids if self.byte_id else self._joined(ids)
 
-    def _cut(self, word: str) -> list[str]:
-        """A word cut where its neighbouring characters are together in no piece: no piece spans the cut."""
-        beside, out, at = self.beside, [], 0
-        for i in [i for i, x in enumerate(zip(word, word[1:]), 1) if x not in beside]:
-            out.append(word[at:i])
-            at = i
-        out.append(word[at:])
-        return out
+    def _joined(self, ids: list[int]) -> list[int]:
+        """Unknown characters in a row are one."""
+        return [x for k, x in enumerate(ids) if x != self.unknown or not k or ids[k - 1] != self.unknown]
 
-    def _shortest(self, word: str) -> list[int]:
-        """Tropical shortest path through a word, for unigram models; equal weights: fewer characters last."""
-        n = len(word)
-        cost, came = [0.0, *[INF] * n], [(0, [])] * (n + 1)
-        worst = -min(self.score) + 10.0
-        for start in range(n):
-            for end in range(start + 1, min(n, start + self.longest) + 1):
-                i = self.piece.get(word[start:end])
-                if i is not None and cost[start] - self.score[i] < cost[end]:
-                    cost[end], came[end] = cost[start] - self.score[i], (start, [i])
-            if word[start] not in self.piece and cost[start] + worst < cost[start + 1]:
-                cost[start + 1], came[start + 1] = cost[start] + worst, (start, self._fallback(word[start]))
-        out, end = [], n
-        while end:
-            end, ids = came[end]
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with its marks in front; parts that no piece can span are kept by themselves."""
+        beside, known, out, at = self.beside, self.words, [], 0
+        cuts = [i for i, x in enumerate(zip(word, word[1:]), 1) if x not in beside] if self.byte_id else []
+        for i in [*cuts, len(word)]:
+            part = word[at:i]
+            at = i
+            ids = known.get(part)
+            if ids is None:
+                got = self.shortest(part)
+                ids = struct.pack(f"<{len(got)}I", *got)
+                if len(part) <= LONGEST_KEPT:
+                    known[part] = ids
             out.append(ids)
-        return [i for x in reversed(out) for i in x]
+        return b"".join(out)
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word with its marks in front."""
-        body = word.lstrip(MARK)
-        n = len(word) - len(body)
-        if not self.merges:
-            ids = self._shortest(word)
-        elif not body:
-            ids = self._run(n)
-        elif n < 2:
-            parts = self._cut(word)
-            if len(parts) > 1:
-                known = self.words
-                for k, w in enumerate(parts):
-                    parts[k] = known.get(w)
-                    if parts[k] is None:
-                        parts[k] = known[w] = struct.pack(f"<{len(got := self._merged(w))}I", *got)
-                return b"".join(parts)
-            ids = self._merged(word)
-        else:  # marks merge with one another after everything else
-            ids = self._merged(MARK + body)
-            ids = self._run(n) + ids[1:] if ids[0] == self.piece[MARK] else self._run(n - 1) + ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def normalise(self, text: str) -> str:
+        """What the normaliser writes: rewritten characters, spaces squeezed if the model says so, a mark in front."""
+        out = self.normaliser.rewrite(text)
+        if self.squeeze:
+            out = re.sub(f"{MARK}{MARK}+", MARK, out).strip(MARK)
+        return MARK + out if self.front and out else out
+
+    def plain(self, text: str) -> str:
+        """The text that decoding gives back: the normalised one with spaces for marks."""
+        out = self.normalise(text).replace(MARK, " ")
+        return out[1:] if self.front and out else out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -241,53 +309,39 @@ class Transducer:
         if len(self.pairs) > 1_000_000:
             self.pairs.clear()
         for text in texts:
-            if not text:
-                out.append(np.empty(0, "<u4"))
-                continue
-            split = text.replace(MARK, " ").split(" ")
-            parts, marks = [], int(self.front)
-            for k, w in enumerate(split):
-                if w:
-                    parts.append(MARK * marks + w if marks != 1 else MARK + w)
-                    marks = 1
-                else:
-                    marks += 1
-                if k == 0 and not w:
-                    marks = int(self.front) + 1
-            if not split[-1]:
-                marks -= 1
-                if marks:
-                    parts.append(MARK * marks)
-            if self.lines and "\n" in text:
-                parts = [x for w in parts for x in _lines(w)] if len(parts) > 1 else _lines(parts[0])
+            plain = self.normalise(text)
+            if MARK * 2 in plain or "\0" in plain:
+                parts = self.cutter.findall(plain)
+                for c in self.alone:
+                    parts = [x for w in parts for x in ([w] if c not in w else _around(w, c))]
+            else:  # the same, where each word has one mark
+                plain = plain.replace(MARK, "\0" + MARK)
+                for c in self.alone:
+                    plain = plain.replace(c, f"\0{c}\0")
+                parts = list(filter(None, plain.split("\0")))
             got = list(map(known.get, parts))
             if None in got:
                 for k, x in enumerate(got):
                     if x is None:
                         w = parts[k]
-                        got[k] = known[w] = self._word(w)
+                        got[k] = known.get(w) or self._word(w)
+                        if len(w) <= LONGEST_KEPT:
+                            known[w] = got[k]
             out.append(np.frombuffer(b"".join(got), "<u4"))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, runs of bytes read as UTF-8, marks turned into spaces."""
         if not hasattr(self, "raw"):
-            self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.encode() for i, p in enumerate(self.names)]
+            self.raw = [bytes([self.byte_of[i]]) if i in self.byte_of else b" \xe2\x81\x87 " if i == self.unknown else p.encode() for i, p in enumerate(self.names)]
         raw = self.raw
         text = b"".join([raw[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.front and text.startswith(" ") else text
 
 
-def _lines(word: str) -> list[str]:
-    if "\n" not in word:
-        return [word]
-    out = []
-    for i, x in enumerate(word.split("\n")):
-        if i:
-            out.append("\n")
-        if x:
-            out.append(x)
-    return out
+def _around(word: str, c: str) -> list[str]:
+    """A word cut before and after each c."""
+    return [x for x in re.split(f"({c})", word) if x]
 
 
 def default_model() -> str:
@@ -300,8 +354,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
     """Ids of every whole text, and whether decoding them gives the text back.
 
     Returns doc_id, n_tokens, ids (array), ids_crc32 (of the ids as little-endian u32) and exact
-    (the decoded text is the text; a text with word marks of its own comes back with spaces).
-    A null or empty text has no ids.  Rows stay apart, equal ones too.  Of an empty table the
+    (the decoded text is the normalised one with spaces for word marks).
+    A null or empty text has no ids; a very long one is encoded whole.  Rows stay apart, equal ones too.  Of an empty table the
     result is empty.  Other columns are not looked at.
     """
     path = path or default_model()
@@ -313,7 +367,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             ids = machine.encode(texts)
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = pa.array(np.concatenate(ids).astype(np.int32))
-            exact = [machine.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts)]
+            exact = [machine.decode(x) == machine.plain(t) for x, t in zip(ids, texts)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(exact)],
                 names=["doc_id", "n_tokens", "ids", "ids_crc32", "exact"],
