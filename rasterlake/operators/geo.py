@@ -64,11 +64,23 @@ def densify(vertices: DataFrame, step_km: float) -> DataFrame:
     return v.select("line_id", "seq", "part", at("lon", "lon1", F.col("part")).alias("lon0"), at("lat", "lat1", F.col("part")).alias("lat0"), at("lon", "lon1", F.col("part") + 1).alias("lon1"), at("lat", "lat1", F.col("part") + 1).alias("lat1"))
 
 
-def top_share(scores: DataFrame, by: str, score: str, order: str, keep: float) -> DataFrame:
-    """In each group the best `keep` of its rows, one at least; of equal scores the earlier by `order`."""
-    k = F.greatest(F.lit(1), F.bround(F.count("*").over(Window.partitionBy(by)) * F.lit(float(keep))).cast("int"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(order)))
-    return scores.withColumn("_rank", rank).withColumn("_k", k).filter("_rank <= _k").drop("_rank", "_k")
+def top_share(scores: DataFrame, by: str, score: str, order: str, keep: float, buckets: int = 1024) -> DataFrame:
+    """In each group the best `keep` of its rows, one at least; of equal scores the earlier by `order`.
+
+    Scores are cut into `buckets` ranges; only the range in which the share ends is put in order
+    row by row, so a group of most rows is not one task's.
+    """
+    g = scores.groupBy(by).agg(F.count("*").alias("_n"), F.min(score).alias("_lo"), F.max(score).alias("_hi"))
+    g = g.withColumn("_k", F.greatest(F.lit(1), F.bround(F.col("_n") * F.lit(float(keep))).cast("int"))).withColumnRenamed(by, "_of")
+    place = (F.col("_hi") - F.col(score)) / (F.col("_hi") - F.col("_lo")) * (buckets - 1)
+    rows = scores.join(g, F.col(by).eqNullSafe(F.col("_of"))).withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), F.coalesce(F.floor(place), F.lit(buckets))).otherwise(0).cast("int"))
+    before = Window.partitionBy("_of").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_of", "_b", "_k").agg(F.count("*").alias("_in")).withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0))).drop("_k")
+    marked = rows.join(sizes.withColumnRenamed("_of", "_of2").withColumnRenamed("_b", "_b2"), F.col("_of").eqNullSafe(F.col("_of2")) & (F.col("_b") == F.col("_b2"))).filter("_before < _k")
+    all_of = marked.filter("_before + _in <= _k").select(*scores.columns)
+    rank = F.row_number().over(Window.partitionBy("_of").orderBy(F.col(score).desc(), F.col(order)))
+    some = marked.filter("_before + _in > _k").withColumn("_rank", rank).filter("_rank <= _k - _before").select(*scores.columns)
+    return all_of.unionByName(some)
 
 
 def every_kth(rows: DataFrame, by: str, order: str, n: int) -> DataFrame:

@@ -174,14 +174,25 @@ def theoretical(requests: DataFrame, levels: DataFrame, tiles: DataFrame, header
     Tiles that aren't stored count as blocks and requests but not as bytes; a file counts once
     asked for, even by a window outside it.
     """
-    need = required(requests, levels).join(tiles, TILE)
-    per_file = runs(tiles, need).filter("n_runs > 0")
-    files = requests.join(levels.select("key", "level"), ["key", "level"], "left_semi").select("key").distinct().join(headers, "key")
-    a = need.agg(F.count("*").alias("n_blocks"), F.count(F.when(F.col("bytecount") == 0, 1)).alias("n_empty_blocks"), F.coalesce(F.sum("bytecount"), F.lit(0)).alias("min_block_bytes"))
-    b = files.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("header_bytes"), F.lit(0)).alias("header_bytes"))
-    c = per_file.agg(F.coalesce(F.sum("n_runs"), F.lit(0)).alias("n_contiguous_runs"), F.coalesce(F.sum("pad_bytes"), F.lit(0)).alias("coalescing_pad_bytes"))
-    d = requests.agg(F.count("*").alias("n_reads"))
-    one = d.crossJoin(b).crossJoin(a).crossJoin(c)  # four rows of totals
+    # all totals of tiles come from one table of tiles, marked where they are needed
+    stored = F.col("bytecount") > 0
+    m = tiles.select(*TILE, "offset", "bytecount").join(required(requests, levels).withColumn("need", F.lit(1)), TILE, "left").fillna({"need": 0})
+    w = Window.partitionBy("key", stored).orderBy("offset", F.col("offset") + F.col("bytecount"), "level", "block")
+    m = m.select("key", "need", "bytecount", stored.alias("stored"), F.coalesce(F.lag("need").over(w), F.lit(0)).alias("before"), (F.col("offset") - F.lag(F.col("offset") + F.col("bytecount")).over(w)).alias("gap"))
+    add = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
+    need, run = F.col("need") == 1, (F.col("need") == 1) & F.col("stored")
+    a = m.agg(
+        add(need, 1).alias("n_blocks"),
+        add(need & ~F.col("stored"), 1).alias("n_empty_blocks"),
+        add(need, F.col("bytecount")).alias("min_block_bytes"),
+        add(run & (F.col("before") == 0), 1).alias("n_contiguous_runs"),
+        add(run & (F.col("before") == 1), F.greatest(F.lit(0).cast("long"), "gap")).alias("coalescing_pad_bytes"),
+    )
+    asked = requests.groupBy("key", "level").agg(F.count("*").alias("n")).join(levels.select("key", "level").withColumn("known", F.lit(True)), ["key", "level"], "left")
+    per_key = asked.groupBy("key").agg(F.sum("n").alias("n"), F.max("known").alias("known")).join(headers.select("key", "header_bytes"), "key", "left")
+    there = F.col("known") & F.col("header_bytes").isNotNull()
+    b = per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_reads"), add(there, 1).alias("n_files"), add(there, F.col("header_bytes")).alias("header_bytes"))
+    one = b.crossJoin(a)  # two rows of totals
     return one.select("n_reads", "n_files", "n_blocks", "n_empty_blocks", "min_block_bytes", "header_bytes", (F.col("min_block_bytes") + F.col("header_bytes")).alias("min_total_bytes"), (F.col("n_blocks") + F.col("n_files")).alias("min_requests"), (F.col("n_contiguous_runs") + F.col("n_files")).alias("min_requests_coalesced"), "n_contiguous_runs", "coalescing_pad_bytes")
 
 

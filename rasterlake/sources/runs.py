@@ -53,6 +53,17 @@ def save_spec(path: str, name: str, seed: int, reads: DataFrame, params: dict, n
     return facts
 
 
+def generate_all(makers: dict, folder: str, **tables) -> dict[str, dict | str]:
+    """Make and save every workload (name: (seed, function that gives its requests)): the facts of each, or why it failed; one failure stops no other."""
+    out: dict[str, dict | str] = {}
+    for name, (seed, make) in makers.items():
+        try:
+            out[name] = save_spec(f"{folder}/{name}", name, seed, make(), {}, **tables)
+        except Exception as e:  # told in the result
+            out[name] = f"{type(e).__name__}: {e}"
+    return out
+
+
 def load_spec(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
     """What save_spec wrote: the facts and the requests."""
     return json.loads(spark.read.text(f"{path}/facts").first().value), spark.read.parquet(f"{path}/reads")

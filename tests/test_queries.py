@@ -26,6 +26,9 @@ def test_same_rows(spark, duck, name):
     df = Q.QUERIES[name](spark, SF)
     assert not {t for _, t in df.dtypes} & {"int", "smallint", "float"}
     got = rows([tuple(r) for r in df.collect()], df.columns)
+    if name not in Q.ORACLES:  # held against plain loops in test_study.py
+        assert got[1]
+        return
     e = duck.execute(Q.ORACLES[name])
     assert got == rows(e.fetchall(), [c[0] for c in e.description]) and got[1]
 

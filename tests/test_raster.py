@@ -223,6 +223,16 @@ def test_restart_codec():
     assert codec.layout_fingerprint([1, 2], [3, 4]) == f"{h:016x}"
 
 
+def test_rows_come_back_from_a_cut_off_tile():
+    a = image(256, 256)
+    data = zlib.compress(codec.apply_predictor(a, 2), 6)
+    for row in (0, 10, 255):
+        used = codec.consumed_at(data, [(row + 1) * 512])[0]
+        raw = codec.inflate_prefix(data[:used], (row + 1) * 512)
+        back = codec.undo_predictor(np.frombuffer(raw, np.uint8).reshape(-1, 512), "uint16", 256, 2)
+        assert np.array_equal(back, a[: row + 1]) and (row == 255 or used < len(data))
+
+
 def test_predictors_round_trip():
     for dtype, p in (("u1", 2), ("u2", 2), ("i4", 2), ("u4", 2), ("f4", 3), ("f8", 3), ("u2", 1)):
         a = (rng.random((5, 64)) * 200).astype(dtype)

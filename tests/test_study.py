@@ -110,6 +110,8 @@ def test_specs(spark, tmp_path):
     facts = R.save_spec(f"{tmp_path}/w", "W", 3, reads, {"n": 1}, levels=D.levels(spark, SF), tiles=D.tiles(spark, SF), headers=D.headers(spark, SF))
     again, table = R.load_spec(spark, f"{tmp_path}/w")
     assert again == json.loads(json.dumps(facts)) and facts["n_reads"] == table.count() == reads.count() and facts["theoretical"]["n_reads"] == reads.count()
+    made = R.generate_all({"a": (1, lambda: reads), "b": (2, lambda: 1 / 0)}, str(tmp_path))
+    assert made["a"]["n_reads"] == reads.count() and made["b"].startswith("ZeroDivisionError")
     (tmp_path / "s.json").write_text(json.dumps({"name": "W9", "seed": 1, "params": {}, "reads": [["k", 0, 1, 2, 3, 4], ["m", 1, 5, 6, 7, 8]]}))
     assert [tuple(r) for r in R.read_spec_json(spark, f"{tmp_path}/s.json").orderBy("req_id").collect()] == [("W9", 0, "k", 0, 1, 2, 3, 4), ("W9", 1, "m", 1, 5, 6, 7, 8)]
 
@@ -176,3 +178,21 @@ def test_sweep_and_gates(spark):
     assert rows[0.05, 0.0].requests <= rows[0.05, 100.0].requests <= rows[0.05, 10.0].requests and rows[0.05, 0.0].bytes >= rows[0.05, 10.0].bytes
     none = spark.createDataFrame([], "source string, bytecount long, need long, row long, blockh int")
     assert gates.prefix_gate(none).filter("source is not null").count() == 0
+
+
+def test_top_share_of_any_scores(spark):
+    rng = np.random.default_rng(3)
+    for scores in ([1.0] * 50, [1.0] * 20 + [2.0] * 20, rng.normal(size=300).tolist(), [0.0]):
+        rows = [(0, k, s) for k, s in enumerate(scores)] + [(None, k, s) for k, s in enumerate(scores[:7])]
+        got = geo.top_share(spark.createDataFrame(rows, "g int, k int, s double"), "g", "s", "k", 0.4, buckets=8).collect()
+        for g in (0, None):
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
+            assert sorted((r.k, r.s) for r in got if r.g == g) == sorted((k, s) for _, k, s in own[: max(1, round(len(own) * 0.4))])
+
+
+def test_digests_of_bytes(spark):
+    import hashlib
+
+    rows = [("a", 2, 0.5), ("a", 1, -3.0), ("b", 1, 7.0)]
+    got = {r.g: r.digest for r in reports.digest_bytes(spark.createDataFrame(rows, "g string, req_id long, value double"), ["g"]).collect()}
+    assert got == {"a": hashlib.sha256(np.array([-3.0, 0.5], "<f8").tobytes()).hexdigest(), "b": hashlib.sha256(np.array([7.0], "<f8").tobytes()).hexdigest()}
