@@ -63,4 +63,4 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_neardup, op2_toxicity, op3_fingerprints, op4_urls, op5_sharding, op6_embeddings, op7_secrets, op8_tokens, op9_mixing, op10_pieces)}
-ORACLES = {"op9_mixing": mixing.ORACLE}
+ORACLES = {"op5_sharding": sharding.ORACLE, "op7_secrets": secrets.ORACLE, "op9_mixing": mixing.ORACLE}

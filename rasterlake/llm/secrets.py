@@ -270,3 +270,26 @@ def digest(scanned: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
         F.sha2(spans_text(own), 256).alias("base_sha256"),
         spans_text(F.col("found")).alias("spans"),
     )
+
+
+def _sql() -> str:
+    """op7 over documents, for DuckDB: a rule's matches and the text between them give the places."""
+    parts = []
+    for i, r in enumerate(RULES):
+        regex = r.regex.replace("'", "''")
+        parts.append(
+            f"SELECT row, {i} AS ord, '{r.kind}' AS kind, unnest(list_filter(list_transform(range(len(w)), lambda k: {{a: list_sum(list_transform(g[1:k + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(w[1:k], lambda x: length(x))), 0), n: length(w[k + 1]), h: length(h[k + 1])}}), lambda x: x.h >= {r.least})) AS m "
+            f"FROM (SELECT row, regexp_extract_all(text, '{regex}') AS w, regexp_extract_all(text, '{regex}', {r.group}) AS h, regexp_split_to_array(text, '{regex}') AS g FROM docs WHERE regexp_matches(text, '{regex}'))"
+        )
+    base = len(BASE)
+    name = "kind || ':' || a || ':' || z"
+    counts = ", ".join(f"count(*) FILTER (ord = {i}) AS n_{r.kind}" for i, r in enumerate(BASE))
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS (SELECT row, ord, kind, m.a::BIGINT AS a, (m.a + m.n)::BIGINT AS z FROM ({" UNION ALL ".join(parts)})),
+one AS (SELECT row, {counts}, string_agg({name}, ',' ORDER BY a, ord) FILTER (ord < {base}) AS base, string_agg({name}, ',' ORDER BY a, ord) AS spans FROM spans GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN one USING (row)
+"""
+
+
+ORACLE = _sql()

@@ -1,7 +1,7 @@
 """Rendezvous (highest-random-weight) hashing of stable record keys over weighted shards.
 
 Each (key, shard) pair has a hash u in (0, 1); the record goes to the shard with the least
--ln(u) / weight.  A shard's scores do not depend on the other shards, so adding one only moves
+-ln(u) / weight.  Hashes are md5, the same in any engine.  A shard's scores do not depend on the other shards, so adding one only moves
 the records that it wins, and a shard holds a share of keys in proportion to its weight.
 All on DataFrame functions; no row's text is shuffled.
 """
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, unit_from_md5
 
 
 def rendezvous(keys: Sequence[Column], weights: Sequence[float], seed: int = 17) -> Column:
@@ -24,11 +24,9 @@ def rendezvous(keys: Sequence[Column], weights: Sequence[float], seed: int = 17)
     """
     if not weights or min(weights) <= 0:
         raise ValueError("every shard needs a positive weight, and there must be a shard")
-    own = F.xxhash64(F.lit(seed), *keys)
     scores = []
     for shard, weight in enumerate(weights):
-        # the top 53 bits of the hash as a double in (0, 1)
-        u = (F.shiftrightunsigned(F.xxhash64(own, F.lit(shard)), 11).cast("double") + 0.5) / float(1 << 53)
+        u = unit_from_md5(F.lit(seed), *keys, F.lit(shard))
         scores.append(F.struct((-F.log(u) / float(weight)).alias("score"), F.lit(shard).alias("shard")))
     return scores[0]["shard"] if len(scores) == 1 else F.least(*scores)["shard"]
 
@@ -61,7 +59,7 @@ def assign_shards(
         F.crc32(text.cast("binary")).alias("text_crc32"),
         rendezvous([F.col(id_col)], weights, seed).alias("shard"),
         (rendezvous([F.col(id_col)], [*weights, grown], seed) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-    ).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit(seed)), F.lit(chunks)))
+    ).withColumn("chunk", F.floor(unit_from_md5(F.lit(seed), F.lit("chunk"), F.col("doc_id"), F.col("text_crc32"), F.col("size")) * chunks))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy("shard", "chunk")
@@ -83,3 +81,22 @@ def assign_shards(
             F.col("grown_shard").cast("int").alias("grown_shard"),
         )
     )
+
+
+def _unit(*parts: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE)"
+
+
+_ID = "coalesce(doc_id::VARCHAR, 'null')"
+#: op5 over documents, for DuckDB; crc32 byte by byte, by the usual table.
+ORACLE = f"""
+WITH crc AS (SELECT list(list_reduce(range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c // 2) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(256) AS r(i)),
+base AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, b: xor(c // 256, t[(xor(c, b) % 256 + 1)::INT]), 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32
+  FROM documents, crc),
+s AS (
+  SELECT *, list_transform(range(17), lambda k: -ln({_unit("17", _ID, "k")})) AS score, floor({_unit("17", "'chunk'", _ID, "text_crc32", "size")} * greatest(256, (SELECT count(*) FROM documents) // 16777216))::BIGINT AS chunk FROM base),
+d AS (SELECT *, list_position(score[1:16], list_min(score[1:16])) - 1 AS shard, list_position(score, list_min(score)) - 1 AS grown_shard FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY chunk, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM d
+"""
