@@ -6,17 +6,22 @@ at least a share FREQUENT of them need an idf of their own, so the table that ev
 has at most (words of a text) / FREQUENT entries, whatever the size of the corpus.
 
 Each text has BANDS x ROWS consistent samples; two texts agree in one with a chance equal to
-their weighted Jaccard similarity.  Texts that agree in a whole band meet in a bucket; a bucket
-is cut into blocks, and every pair of blocks is compared in some task, by the share of samples
-that agree.  What is left are families of texts that may be alike; within them, again by pairs
-of blocks, the exact similarity decides.  Tasks return links that span what they found, not all
-pairs, so results grow with the texts; skewed buckets and families only make more blocks.
+their weighted Jaccard similarity.  Texts that agree in a whole band meet in a bucket, where the
+share of samples that agree tells whether they may be alike.  What is left are families of texts
+that may be alike; within them the exact similarity decides.
+
+A group (bucket or family) of up to a block is compared in one task.  A larger one is cut into
+blocks, and some HUBS of its rows, drawn by a hash, go to every block.  Rows that links lead to
+from the hubs' largest class are done, as links among them would join nothing new; the rest, if
+any, meet all rows of the group, by pairs of blocks.  So no pair that could join two classes goes
+unseen, and a large group of copies costs its rows times the hubs, not their square.  Tasks
+return links that span what they found, not all pairs, so results grow with the texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +39,7 @@ BANDS, ROWS = 16, 5
 SLACK = 4.0  # standard deviations that the share of equal samples may be below LEAST
 FREQUENT = 1 / 1024
 BUCKET_BLOCK, FAMILY_BLOCK = 1024, 512
+HUBS = 32  # on average, of a group of more than a block
 _TABLE = 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -47,7 +53,7 @@ class Shingler:
 
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         known, idf = self.known, self.idf
-        if len(known) > 500_000:
+        if len(known) > 300_000:
             known.clear()
         found = WORD.findall(text.lower())
         out = []
@@ -188,23 +194,90 @@ def signed(docs: DataFrame, idf: dict[int, float], id_col: str = "doc_id", text_
     return rows.mapInArrow(run, "doc_id long, same binary, bands array<long>, mark binary")
 
 
-def blocked(rows: DataFrame, groups: DataFrame, key: str, block: int, id_col: str = "doc_id") -> DataFrame:
-    """rows with `i`, `j`, `side`: each pair i <= j of the blocks of its group gets the rows of both.
+def star(rows: DataFrame, groups: DataFrame, key: str, block: int) -> DataFrame:
+    """rows with `i`, `j`, `side`, dealt by (key, i, j): each block of a group, and its hubs ahead of it (side 0).
 
-    groups: key, n (its rows).  A group has ceil(n / block) blocks, dealt by a hash of the id.
+    groups: key, n (its rows).  A group of up to a block has j 0 and no hubs; else j is -1.  Rows
+    are dealt to ceil(n / block) blocks by a hash of the id; a hub is also a row of its block.
     """
     out = rows.join(groups, key).withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
-    out = out.withColumn("_own", F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.col("_blocks")).cast("int"))
-    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return out.select(*rows.columns, F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"))
+    draw = lambda seed: F.xxhash64(F.col("doc_id"), F.lit(seed))
+    many = F.col("_blocks") > 1
+    hub = many & (F.pmod(draw(11), F.lit(1 << 30)) < F.lit(float(HUBS << 30)) / F.col("n"))
+    own = F.struct(F.pmod(draw(7), F.col("_blocks")).cast("int").alias("i"), F.lit(1).alias("side"))
+    every = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda i: F.struct(i.alias("i"), F.lit(0).alias("side")))
+    out = out.withColumn("_at", F.explode(F.when(hub, F.concat(every, F.array(own))).otherwise(F.array(own))))
+    return _dealt(out.select(*rows.columns, F.col("_at.i").alias("i"), F.when(many, -1).otherwise(0).alias("j"), F.col("_at.side").alias("side")), key)
 
 
-def dealt(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of a pair of blocks together, those of its first block ahead."""
+def crossed(rows: DataFrame, groups: DataFrame, rest: DataFrame, key: str, block: int) -> DataFrame:
+    """rows of groups that have a rest, with `i`, `j`, `side`, dealt by (key, i, j): block j of the rest (side 0) and block i of all rows.
+
+    rest: key, doc_id.
+    """
+    sizes = rest.groupBy(key).agg(F.count("*").alias("_rest"))
+    draw = lambda seed, n: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col(n)).cast("int")
+    count = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
+    all_rows = rows.join(groups.join(sizes, key), key).withColumn("_i", count("n")).withColumn("_j", count("_rest"))
+    left = all_rows.join(rest, [key, "doc_id"], "left_semi").withColumn("j", draw(13, "_j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_i") - 1))).withColumn("side", F.lit(0))
+    right = all_rows.withColumn("i", draw(7, "_i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_j") - 1))).withColumn("side", F.lit(1))
+    names = [*rows.columns, "i", "j", "side"]
+    return _dealt(left.select(names).unionByName(right.select(names)), key)
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, key, "i", "j").sortWithinPartitions(key, "i", "j", "side")
 
 
+def spanned(rows: DataFrame, groups: DataFrame, key: str, block: int, run, tag: str) -> DataFrame:
+    """Links (u, v) that span all that are alike within the groups.
+
+    run(iterator) compares dealt rows: see _compared().  Rows that do not hang on the hubs' class
+    are compared with all of their group in a second pass.
+    """
+    first = materialize(star(rows, groups, key, block).mapInArrow(run, "of long, u long, v long"), tag)
+    links = first.filter("of is null").select("u", "v")
+    rest = first.filter("of is not null").select(F.col("of").alias(key), F.col("u").alias("doc_id")).distinct()
+    if rest.isEmpty():
+        return links
+    rest = materialize(rest, "rest")
+    return links.unionByName(crossed(rows, groups, rest, key, block).mapInArrow(run, "of long, u long, v long").filter("of is null").select("u", "v"))
+
+
+def _compared(key: tuple, sides: list[int], ids: list[int], marks: np.ndarray, least: float, alike: Callable[[int, int], bool] | None) -> pa.RecordBatch | None:
+    """Links of one task's rows, as (null, u, v), and after hubs (j -1) the rest, as (group, id, null).
+
+    alike(x, y), if given, decides about pairs whose samples agree often enough; pairs that are
+    joined already, through others, need no look.
+    """
+    of, _, j = key
+    sets, n_hubs = Sets(len(ids)), sum(s == 0 for s in sides)
+
+    def join(pairs) -> None:
+        for x, y in zip(*(p.tolist() for p in pairs)):
+            if sets.find(x) != sets.find(y) and (alike is None or alike(x, y)):
+                sets.join(x, y)
+
+    rest: list[int] = []
+    if len(sides) == n_hubs or n_hubs == 0:
+        if j == -1 and n_hubs == 0:  # no row was drawn
+            rest = ids
+        elif len(ids) > 1 and n_hubs == 0:
+            join(_maybe(marks, 0, least))
+    elif j == -1:
+        join(_maybe(marks[:n_hubs], 0, least))
+        roots = [sets.find(x) for x in range(n_hubs)]
+        main = max(range(n_hubs), key=lambda x: (roots.count(roots[x]), -x))
+        join(_maybe(marks, n_hubs, least))
+        rest = [ids[x] for x in range(n_hubs, len(ids)) if sets.find(x) != sets.find(main)]
+    else:
+        join(_maybe(marks, n_hubs, least))
+    to = [(None, ids[sets.find(k)], ids[k]) for k in range(len(ids)) if sets.find(k) != k and ids[sets.find(k)] != ids[k]]
+    to += [(of, d, None) for d in rest]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in to], pa.int64()) for c in range(3)], names=["of", "u", "v"]) if to else None
+
+
 def runs(it: Iterator[pa.RecordBatch], keys: int = 3) -> Iterator[tuple[tuple, list[tuple]]]:
     """Consecutive rows with equal first columns: the key and the rows' other columns."""
     now, rows = None, []
@@ -255,11 +328,6 @@ def _maybe(marks: np.ndarray, split: int, least: float) -> tuple[np.ndarray, np.
     return x[order], y[order]
 
 
-def _pairs_out(ids: list[int], sets: Sets) -> pa.RecordBatch:
-    to = [(ids[sets.find(k)], ids[k]) for k in range(len(ids)) if sets.find(k) != k]
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in to], pa.int64()), pa.array([b for _, b in to], pa.int64())], names=["u", "v"])
-
-
 def families(rows: DataFrame, least: float = LEAST) -> DataFrame:
     """Links (u, v) that span the texts which meet in a bucket and share enough samples.  rows: doc_id, bands, mark."""
     k = BANDS * ROWS
@@ -267,20 +335,16 @@ def families(rows: DataFrame, least: float = LEAST) -> DataFrame:
     met = rows.select("doc_id", F.explode("bands").alias("key"))
     many = materialize(met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     # marks join those that meet another, not every band of every text
-    kept = met.join(many.select("key"), "key").join(rows.select("doc_id", "mark"), "doc_id")
-    pairs = dealt(blocked(kept, many, "key", BUCKET_BLOCK).select("key", "i", "j", "side", "doc_id", "mark"), "key")
+    kept = met.join(many.select("key"), "key").join(rows.select("doc_id", "mark"), "doc_id").select("key", "doc_id", "mark")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for (_, i, j), own in runs(it):
-            split = 0 if i == j else sum(side == 0 for side, *_ in own)
-            if len(own) < 2 or (i != j and split in (0, len(own))):
-                continue
-            sets = Sets(len(own))
-            for x, y in zip(*_maybe(np.frombuffer(b"".join(m for *_, m in own), np.uint8).reshape(len(own), k), split, enough)):
-                sets.join(int(x), int(y))
-            yield _pairs_out([d for _, d, _ in own], sets)
+        for key, own in runs((b.select(["key", "i", "j", "side", "doc_id", "mark"]) for b in it)):
+            sides, ids, marks = zip(*own)
+            got = _compared(key, list(sides), list(ids), np.frombuffer(b"".join(marks), np.uint8).reshape(len(own), k), enough, None)
+            if got is not None:
+                yield got
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return spanned(kept, many, "key", BUCKET_BLOCK, run, "met")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], z: tuple[np.ndarray, np.ndarray]) -> float:
@@ -298,31 +362,26 @@ def similarity(a: tuple[np.ndarray, np.ndarray], z: tuple[np.ndarray, np.ndarray
 def verified(rows: DataFrame, idf: dict[int, float], least: float = LEAST) -> DataFrame:
     """Links (u, v) that span the texts of similarity `least` or more.  rows: family, n, doc_id, mark, text.
 
-    Pairs that are joined already, through others, need no look.
+    A text goes to one task, a hub's to all of its family's; those of a rest, and of rows that
+    meet them, once more for each block they meet.
     """
     k = BANDS * ROWS
     enough = least - SLACK * float(np.sqrt(least * (1 - least) / k))
-    groups = rows.select("family", "n").distinct()
-    pairs = blocked(rows.drop("n"), materialize(groups, "families"), "family", FAMILY_BLOCK)
-    pairs = dealt(pairs.select("family", "i", "j", "side", "doc_id", "mark", "text"), "family")
+    groups = materialize(rows.select("family", "n").distinct(), "families")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         make = Shingler(idf)
         # a text becomes its shingles as it arrives, so that a block holds no texts
-        for (_, i, j), own in runs_of(it, make):
-            split = 0 if i == j else sum(side == 0 for side, *_ in own)
-            if len(own) < 2 or (i != j and split in (0, len(own))):
-                continue
-            sets = Sets(len(own))
-            for x, y in zip(*(p.tolist() for p in _maybe(np.frombuffer(b"".join(r[2] for r in own), np.uint8).reshape(len(own), k), split, enough))):
-                if sets.find(x) != sets.find(y) and similarity(own[x][3], own[y][3]) >= least:
-                    sets.join(x, y)
-            yield _pairs_out([r[1] for r in own], sets)
+        for key, own in runs_of(it, make):
+            sides, ids, marks, sets = zip(*own)
+            got = _compared(key, list(sides), list(ids), np.frombuffer(b"".join(marks), np.uint8).reshape(len(own), k), enough, lambda x, y, sets=sets: similarity(sets[x], sets[y]) >= least)
+            if got is not None:
+                yield got
 
     def runs_of(it: Iterator[pa.RecordBatch], make: Shingler):
         now, own = None, []
         for b in batches(it, 64):
-            for family, i, j, side, doc, mark, text in zip(*[c.to_pylist() for c in b.columns]):
+            for family, i, j, side, doc, mark, text in zip(*[b.column(c).to_pylist() for c in ("family", "i", "j", "side", "doc_id", "mark", "text")]):
                 if (family, i, j) != now:
                     if own:
                         yield now, own
@@ -331,7 +390,7 @@ def verified(rows: DataFrame, idf: dict[int, float], least: float = LEAST) -> Da
         if own:
             yield now, own
 
-    return pairs.mapInArrow(run, "u long, v long")
+    return spanned(rows.drop("n"), groups, "family", FAMILY_BLOCK, run, "verified")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

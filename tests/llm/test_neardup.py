@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from rasterlake.llm import neardup as N
 from rasterlake.llm.components import components
@@ -46,7 +47,9 @@ def test_query_against_all_pairs(spark):
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
 
 
-def test_large_groups_in_many_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("hubs", [0, 1, 6])
+def test_large_groups_in_many_blocks(spark, monkeypatch, hubs):
+    monkeypatch.setattr(N, "HUBS", hubs)
     monkeypatch.setattr(N, "BUCKET_BLOCK", 8)
     monkeypatch.setattr(N, "FAMILY_BLOCK", 8)
     rng = random.Random(3)
@@ -96,3 +99,17 @@ def test_components(spark):
     rng.shuffle(links)
     rows = components(spark.createDataFrame(links, "u long, v long")).collect()
     assert {r.node: r.component for r in rows} == want and len(rows) == len(want)
+
+
+def test_a_group_of_copies_costs_its_rows_and_not_their_square(spark):
+    """A family of nearly equal texts goes to each task once; only what hangs on no hub meets all."""
+    rng = random.Random(8)
+    text = [f"w{rng.randrange(900)}" for _ in range(200)]
+    rows = [" ".join([*text[:k % 190], f"x{k}", *text[k % 190 + 1 :]]) for k in range(3000)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
+    marks = N.materialize(N.signed(docs, {}), "m")
+    members = marks.select(N.F.lit(1).cast("long").alias("family"), "doc_id", "mark")
+    groups = spark.createDataFrame([(1, 3000)], "family long, n long")
+    dealt = N.star(members, groups, "family", N.FAMILY_BLOCK)
+    assert dealt.count() < 3000 + 3 * N.HUBS * 6 and dealt.filter("side = 1").count() == 3000
+    assert {r.class_id for r in N.near_duplicates(docs).collect()} == {0}
