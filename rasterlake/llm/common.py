@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,6 +101,23 @@ def maybe_in(rows: DataFrame, key: str, ids: DataFrame, bits: int = 23) -> DataF
     return mark_maybe(rows, key, ids, "_maybe", bits).filter("_maybe").drop("_maybe")
 
 
+def tidy(run):
+    """run, a function for mapInArrow, whose memory goes back to the system when its task ends.
+
+    Workers live on between stages, and what one stage freed but kept would count against the next.
+    """
+
+    def inner(it):
+        yield from run(it)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not the GNU C library
+            pass
+
+    return inner
+
+
 def batches(it, rows: int = 512, size: int = 4 << 20):
     """Split Arrow batches so that none has more than `rows` rows or, one long row aside, `size` bytes."""
     for b in it:

@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .components import components
 
 SUBSPACES, CODES = 8, 256
-LISTS, SAMPLE_PER_LIST = 4096, 64
+SAMPLE, SAMPLE_PER_LIST = 1 << 18, 64  # vectors that a quantiser is fitted on, at most
+FLAT = 4096  # lists that are fitted at once; more are fitted within a first set of cells
 BLOCK = 1024  # vectors compared with as many at a time
 SIDE = 4  # such blocks that are dealt together, and are a group on average
 
@@ -42,13 +43,23 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
     return c
 
 
+def _centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k centroids or nearly: of all vectors, or where k is large of the vectors of each of sqrt(k) cells."""
+    if k <= FLAT:
+        return _kmeans(x, k, 8, rng)
+    cells = _kmeans(x, int(np.sqrt(k)), 8, rng)
+    near = np.concatenate([(p @ cells.T - 0.5 * (cells * cells).sum(1)).argmax(1) for p in np.array_split(x, max(1, len(x) * len(cells) >> 24))])
+    own = [x[near == c] for c in range(len(cells))]
+    return np.concatenate([_kmeans(p, max(1, min(len(p), round(k * len(p) / len(x)))), 8, rng) for p in own if len(p)])
+
+
 class Quantiser:
     """Coarse centroids, in order of their groups, and residual codebooks for vectors of one length."""
 
     def __init__(self, sample: np.ndarray, lists: int, groups: int = 1, seed: int = 6):
         rng = np.random.default_rng(seed)
         d = sample.shape[1]
-        centre = _kmeans(sample, max(1, min(lists, len(sample))), 8, rng)
+        centre = _centres(sample, max(1, min(lists, len(sample))), rng)
         middle = _kmeans(centre, max(1, min(groups, len(centre))), 4, rng)
         group = np.unique((centre @ middle.T - 0.5 * (middle * middle).sum(1)).argmax(1), return_inverse=True)[1]
         order = np.argsort(group, kind="stable")
@@ -125,9 +136,9 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_
     id.  Equal vectors are one entry of the index with a count.  Rows that repeat an id count
     each.  Of an empty table the result is empty.  Other columns are not looked at.
 
-    All links are found.  The quantiser is fitted on at most LISTS * SAMPLE_PER_LIST vectors of the
-    commonest length; lists grow with the square root of the entries up to LISTS.  Vectors of other lengths are
-    compared exhaustively, in blocks.
+    All links are found.  Vectors of each length have a quantiser of their own, fitted on at most
+    SAMPLE of them (those of a length that has no more than BLOCK are compared as they are, in
+    one block); lists grow with the square root of the entries, up to a quarter of SAMPLE.
     """
     reach = float(np.sqrt(2 - 2 * least))
     v = F.col(vector_col)
@@ -135,14 +146,18 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_
     rows = materialize(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.coalesce(good, F.lit(False)) & F.col(id_col).isNotNull(), v.cast("array<double>")).alias("vec")).withColumn("same", F.when(F.col("vec").isNotNull(), F.sha2(F.to_json(F.struct("vec")).cast("binary"), 256))), "vectors")
     entries = rows.filter("vec is not null").groupBy("same").agg(F.min("vec_id").alias("doc_id"), F.count("*").alias("n"), F.first("vec").alias("vec"))
     entries = materialize(entries, "entries")
-    lengths = entries.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").limit(1).collect()
-    model = None
-    if lengths:
-        d, total = lengths[0].d, lengths[0].n
-        lists = min(LISTS, lists or max(1, int(np.sqrt(total))))
-        some = entries.filter(F.size("vec") == d).orderBy(F.xxhash64("doc_id")).limit(lists * SAMPLE_PER_LIST).select("vec").toArrow()
+    lengths = [(r.d, r.n) for r in entries.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).orderBy("d").collect()]
+    models, first = {}, {}  # by length: the quantiser, and the number of its first group
+    for d, total in lengths:
+        own_lists = min(SAMPLE // 4, lists or max(1, int(np.sqrt(total))))
+        some = entries.filter(F.size("vec") == d).orderBy(F.xxhash64("doc_id")).limit(min(SAMPLE, own_lists * SAMPLE_PER_LIST)).select("vec").toArrow()
         x = np.stack(_floats(some.column("vec").combine_chunks()))
-        model = Quantiser(x / np.linalg.norm(x, axis=1)[:, None], lists, -(-total // (SIDE * BLOCK)))
+        first[d] = sum(m.group.max() + 1 for m in models.values())
+        models[d] = Quantiser(x / np.linalg.norm(x, axis=1)[:, None], own_lists, -(-total // (SIDE * BLOCK)))
+    starts, by_start = np.array(list(first.values())), list(first)
+
+    def length_of(group: int) -> int:
+        return by_start[int(np.searchsorted(starts, group, side="right")) - 1] if group >= 0 else -group
 
     def index(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for b in it:
@@ -150,15 +165,15 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_
                 p = b.slice(at, 2048)
                 vecs = _floats(p.column("vec"))
                 out: list[tuple] = []
-                fit = [i for i, x in enumerate(vecs) if len(x) == d]
                 probes, codes, errors = {}, {}, {}
-                if fit:
+                for d in {len(x) for x in vecs} & models.keys():
+                    fit, model = [i for i, x in enumerate(vecs) if len(x) == d], models[d]
                     x = np.stack([vecs[i] for i in fit])
                     x /= np.linalg.norm(x, axis=1)[:, None]
                     home = model.home(x)[0]
                     c, e = model.encode(x, home)
                     for i, pr, hi, ci, ei in zip(fit, model.probes(x, reach), home.astype(np.int32), c, e):
-                        probes[i], codes[i], errors[i] = pr, hi.tobytes() + ci.tobytes(), float(ei)
+                        probes[i], codes[i], errors[i] = pr + first[d], hi.tobytes() + ci.tobytes(), float(ei)
                 for i, (doc, n) in enumerate(zip(p.column("doc_id").to_pylist(), p.column("n").to_pylist())):
                     raw = _pack(vecs[i])
                     if i in probes:
@@ -169,7 +184,7 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_
                 yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*out), (pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64()))], names=["list", "query", "doc_id", "n", "raw", "code", "error"])
 
     shape = "list int, query byte, doc_id long, n long, raw binary, code binary, error double"
-    listed = entries.select("doc_id", "n", "vec").mapInArrow(index, shape)
+    listed = entries.select("doc_id", "n", "vec").mapInArrow(tidy(index), shape)
     listed = materialize(listed, "lists")
     # members meet members of their own group by pairs of blocks; those who probe the group meet each block of members
     sizes = materialize(listed.groupBy("list").agg(F.count(F.when(F.col("query") == 0, 1)).alias("n")), "sizes")
@@ -201,12 +216,12 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_
             q, y = left, left if same else right
             if not len(q[0]) or not len(y[0]):
                 continue
-            a, z = (_unpack(s[2], d if of >= 0 else -of) for s in (q, y))
+            a, z = (_unpack(s[2], length_of(of)) for s in (q, y))
             ids, n = ([np.array(s[k], np.int64) for s in (q, y)] for k in (0, 1))
             if of >= 0:
                 unit = a / np.sqrt((a * a).sum(1))[:, None]
                 codes = np.frombuffer(b"".join(y[3]), np.uint8).reshape(len(z), -1)
-                stands = model.decode(np.ascontiguousarray(codes[:, :4]).view(np.int32)[:, 0], codes[:, 4:])
+                stands = models[length_of(of)].decode(np.ascontiguousarray(codes[:, :4]).view(np.int32)[:, 0], codes[:, 4:])
                 # |u - s| <= reach + error, for a vector u of length one
                 least_dot = (1 + (stands * stands).sum(1) - (reach + np.array(y[4]) + 1e-6) ** 2) / 2 - 1e-9
             for at in range(0, len(a), BLOCK):
@@ -217,7 +232,7 @@ def link(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vector_
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["u", "v", "n"])
 
-    found = materialize(own.mapInArrow(compare, "u long, v long, n long"), "found")
+    found = materialize(own.mapInArrow(tidy(compare), "u long, v long, n long"), "found")
     comp = components(found.select("u", "v")).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
     counts = found.groupBy(F.col("u").alias("doc_id")).agg(F.sum("n").alias("more"))
     entry = entries.select("same", "doc_id", "n").join(counts, "doc_id", "left").join(comp, "doc_id", "left")

@@ -76,3 +76,29 @@ def test_odd_and_empty_tables(spark):
     got = [(r.vec_id, r.n_links, r.component_id) for r in E.link(df).collect()]
     assert key(got) == key(brute(ids, vecs))
     assert E.link(df.limit(0)).count() == 0
+
+
+def test_recall_over_thousands_of_two_lengths(spark, monkeypatch):
+    """Planted neighbours at cosines around the limit, against all pairs."""
+    monkeypatch.setattr(E, "BLOCK", 256)
+    monkeypatch.setattr(E, "FLAT", 16)
+    rng = np.random.default_rng(9)
+    vecs = []
+    for d, n in ((64, 5000), (48, 1500)):
+        base = rng.normal(size=(n // 2, d))
+        base /= np.linalg.norm(base, axis=1)[:, None]
+        away = rng.normal(size=base.shape)
+        away -= (away * base).sum(1)[:, None] * base
+        away /= np.linalg.norm(away, axis=1)[:, None]
+        cos = rng.uniform(0.86, 0.99, len(base))[:, None]
+        vecs += [*base, *(cos * base + np.sqrt(1 - cos**2) * away)]
+    got = {r.vec_id: r for r in E.link(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vecs)], "vec_id long, embedding array<double>")).collect()}
+    links = 0
+    for a, z in ((0, 5000), (5000, 6500)):
+        x = np.array(vecs[a:z])
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        hit = x @ x.T >= 0.9
+        np.fill_diagonal(hit, False)
+        assert [got[a + k].n_links for k in range(z - a)] == hit.sum(1).tolist()  # recall 1, and none too many
+        links += hit.sum()
+    assert links > 3000
