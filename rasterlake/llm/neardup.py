@@ -1,9 +1,10 @@
 """Near-duplicates: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-A shingle is five words in a row; its weight is how often the text has it times one plus the mean
-idf of its words, as a share of the largest idf.  Word counts cover all documents; only words in
-at least a share FREQUENT of them need an idf of their own, so the table that every task gets
-has at most (words of a text) / FREQUENT entries, whatever the size of the corpus.
+A shingle is five words in a row; its weight is how often the text has it (tf) times the mean idf
+of its words, idf being 1 + ln(documents / documents with the word).  Words are counted over all
+documents.  Of those in less than a share FREQUENT of them all have the idf of that share, so the
+table that every task gets has at most (words of a text) / FREQUENT entries, whatever the size of
+the corpus; in a corpus of up to 1 / FREQUENT documents every word has its own.
 
 Each text has BANDS x ROWS consistent samples; two texts agree in one with a chance equal to
 their weighted Jaccard similarity.  Texts that agree in a whole band meet in a bucket, where the
@@ -30,14 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, maybe_in, text_of
+from .common import batches, materialize, maybe_in, text_of, tidy
 from .components import components
 
 WORD = re.compile(r"\w+")
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 16, 5
 SLACK = 4.0  # standard deviations that the share of equal samples may be below LEAST
-FREQUENT = 1 / 1024
+FREQUENT = 1 / 8192
+RARE = 1 + float(np.log(1 / FREQUENT))  # idf of the words below that share
 BUCKET_BLOCK, FAMILY_BLOCK = 1024, 512
 HUBS = 32  # on average, of a group of more than a block
 _TABLE = 18
@@ -61,7 +63,7 @@ class Shingler:
             x = known.get(w)
             if x is None:
                 h = word_hash(w)
-                x = known[w] = (h, idf.get(h - (1 << 64) if h >> 63 else h, 1.0))
+                x = known[w] = (h, idf.get(h - (1 << 64) if h >> 63 else h, RARE))
             out.append(x)
         return np.array([h for h, _ in out], np.uint64), np.array([v for _, v in out], np.float64)
 
@@ -80,7 +82,7 @@ class Shingler:
             w += v[i : len(h) - n + 1 + i]
         s ^= s >> np.uint64(31)
         s, first, count = np.unique(s, return_index=True, return_counts=True)
-        return s, count * (1 + w[first] / n), xxhash.xxh3_128_digest(h.tobytes())
+        return s, count * (w[first] / n), xxhash.xxh3_128_digest(h.tobytes())
 
 
 def word_hash(word: str) -> int:
@@ -135,10 +137,7 @@ def samples(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, k: in
 
 
 def word_weights(docs: DataFrame, text_col: str = "text") -> dict[int, float]:
-    """idf of the words in at least FREQUENT of all documents, as a share of the largest, 1.
-
-    Counted over all documents; the rest of the words have 1.  Keys are signed word hashes.
-    """
+    """idf of the words in at least FREQUENT of all documents; the rest have RARE.  Keys are signed word hashes."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         n: dict[str, int] = {}
@@ -159,13 +158,12 @@ def word_weights(docs: DataFrame, text_col: str = "text") -> dict[int, float]:
         yield flush()
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total], pa.int64()), pa.array([1], pa.int8())], names=["word", "n", "all"])
 
-    counts = materialize(docs.select(text_of(text_col)).mapInArrow(count, "word long, n long, all byte").groupBy("word", "all").agg(F.sum("n").alias("n")), "words")
+    counts = materialize(docs.select(text_of(text_col)).mapInArrow(tidy(count), "word long, n long, all byte").groupBy("word", "all").agg(F.sum("n").alias("n")), "words")
     total = counts.filter("all = 1").agg(F.sum("n")).first()[0] or 0
     if not total:
         return {}
     rows = counts.filter((F.col("all") == 0) & (F.col("n") >= total * FREQUENT)).collect()  # see FREQUENT
-    top = np.log(1 / FREQUENT)
-    return {r.word: float(np.clip(np.log(total / r.n) / top, 0, 1)) for r in rows}
+    return {r.word: 1 + float(np.log(total / r.n)) for r in rows}
 
 
 def signed(docs: DataFrame, idf: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,16 +189,16 @@ def signed(docs: DataFrame, idf: dict[int, float], id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[2] for p in parts], pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "same", "bands", "mark"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).filter("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, same binary, bands array<long>, mark binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, same binary, bands array<long>, mark binary")
 
 
-def star(rows: DataFrame, groups: DataFrame, key: str, block: int) -> DataFrame:
+def star(rows: DataFrame, key: str, block: int) -> DataFrame:
     """rows with `i`, `j`, `side`, dealt by (key, i, j): each block of a group, and its hubs ahead of it (side 0).
 
-    groups: key, n (its rows).  A group of up to a block has j 0 and no hubs; else j is -1.  Rows
+    rows: n is how many their group has.  A group of up to a block has j 0 and no hubs; else j is -1.  Rows
     are dealt to ceil(n / block) blocks by a hash of the id; a hub is also a row of its block.
     """
-    out = rows.join(groups, key).withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
+    out = rows.withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
     draw = lambda seed: F.xxhash64(F.col("doc_id"), F.lit(seed))
     many = F.col("_blocks") > 1
     hub = many & (F.pmod(draw(11), F.lit(1 << 30)) < F.lit(float(HUBS << 30)) / F.col("n"))
@@ -210,7 +208,7 @@ def star(rows: DataFrame, groups: DataFrame, key: str, block: int) -> DataFrame:
     return _dealt(out.select(*rows.columns, F.col("_at.i").alias("i"), F.when(many, -1).otherwise(0).alias("j"), F.col("_at.side").alias("side")), key)
 
 
-def crossed(rows: DataFrame, groups: DataFrame, rest: DataFrame, key: str, block: int) -> DataFrame:
+def crossed(rows: DataFrame, rest: DataFrame, key: str, block: int) -> DataFrame:
     """rows of groups that have a rest, with `i`, `j`, `side`, dealt by (key, i, j): block j of the rest (side 0) and block i of all rows.
 
     rest: key, doc_id.
@@ -218,7 +216,7 @@ def crossed(rows: DataFrame, groups: DataFrame, rest: DataFrame, key: str, block
     sizes = rest.groupBy(key).agg(F.count("*").alias("_rest"))
     draw = lambda seed, n: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.col(n)).cast("int")
     count = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int")
-    all_rows = rows.join(groups.join(sizes, key), key).withColumn("_i", count("n")).withColumn("_j", count("_rest"))
+    all_rows = rows.join(sizes, key).withColumn("_i", count("n")).withColumn("_j", count("_rest"))
     left = all_rows.join(rest, [key, "doc_id"], "left_semi").withColumn("j", draw(13, "_j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("_i") - 1))).withColumn("side", F.lit(0))
     right = all_rows.withColumn("i", draw(7, "_i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("_j") - 1))).withColumn("side", F.lit(1))
     names = [*rows.columns, "i", "j", "side"]
@@ -230,19 +228,19 @@ def _dealt(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(n, key, "i", "j").sortWithinPartitions(key, "i", "j", "side")
 
 
-def spanned(rows: DataFrame, groups: DataFrame, key: str, block: int, run, tag: str) -> DataFrame:
+def spanned(rows: DataFrame, key: str, block: int, run, tag: str) -> DataFrame:
     """Links (u, v) that span all that are alike within the groups.
 
     run(iterator) compares dealt rows: see _compared().  Rows that do not hang on the hubs' class
     are compared with all of their group in a second pass.
     """
-    first = materialize(star(rows, groups, key, block).mapInArrow(run, "of long, u long, v long"), tag)
+    first = materialize(star(rows, key, block).mapInArrow(tidy(run), "of long, u long, v long"), tag)
     links = first.filter("of is null").select("u", "v")
     rest = first.filter("of is not null").select(F.col("of").alias(key), F.col("u").alias("doc_id")).distinct()
     if rest.isEmpty():
         return links
     rest = materialize(rest, "rest")
-    return links.unionByName(crossed(rows, groups, rest, key, block).mapInArrow(run, "of long, u long, v long").filter("of is null").select("u", "v"))
+    return links.unionByName(crossed(rows, rest, key, block).mapInArrow(tidy(run), "of long, u long, v long").filter("of is null").select("u", "v"))
 
 
 def _compared(key: tuple, sides: list[int], ids: list[int], marks: np.ndarray, least: float, alike: Callable[[int, int], bool] | None) -> pa.RecordBatch | None:
@@ -335,7 +333,7 @@ def families(rows: DataFrame, least: float = LEAST) -> DataFrame:
     met = rows.select("doc_id", F.explode("bands").alias("key"))
     many = materialize(met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     # marks join those that meet another, not every band of every text
-    kept = met.join(many.select("key"), "key").join(rows.select("doc_id", "mark"), "doc_id").select("key", "doc_id", "mark")
+    kept = met.join(many, "key").join(rows.select("doc_id", "mark"), "doc_id").select("key", "n", "doc_id", "mark")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for key, own in runs((b.select(["key", "i", "j", "side", "doc_id", "mark"]) for b in it)):
@@ -344,7 +342,7 @@ def families(rows: DataFrame, least: float = LEAST) -> DataFrame:
             if got is not None:
                 yield got
 
-    return spanned(kept, many, "key", BUCKET_BLOCK, run, "met")
+    return spanned(kept, "key", BUCKET_BLOCK, run, "met")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], z: tuple[np.ndarray, np.ndarray]) -> float:
@@ -367,8 +365,6 @@ def verified(rows: DataFrame, idf: dict[int, float], least: float = LEAST) -> Da
     """
     k = BANDS * ROWS
     enough = least - SLACK * float(np.sqrt(least * (1 - least) / k))
-    groups = materialize(rows.select("family", "n").distinct(), "families")
-
     def run(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         make = Shingler(idf)
         # a text becomes its shingles as it arrives, so that a block holds no texts
@@ -390,7 +386,7 @@ def verified(rows: DataFrame, idf: dict[int, float], least: float = LEAST) -> Da
         if own:
             yield now, own
 
-    return spanned(rows.drop("n"), groups, "family", FAMILY_BLOCK, run, "verified")
+    return spanned(rows, "family", FAMILY_BLOCK, run, "verified")
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,9 +19,8 @@ def classes(rows):
             n[w] += 1
     idf = {}
     for w, k in n.items():
-        if k >= len(rows) * N.FREQUENT:
-            h = N.word_hash(w)
-            idf[h - (1 << 64) if h >> 63 else h] = float(np.clip(np.log(len(rows) / k) / np.log(1 / N.FREQUENT), 0, 1))
+        h = N.word_hash(w)
+        idf[h - (1 << 64) if h >> 63 else h] = 1 + float(np.log(len(rows) / k))
     make = N.Shingler(idf)
     parts = [make.shingles(t or "") for _, t in rows]
     sets, by, same, ids = N.Sets(len(rows)), defaultdict(list), {}, {}
@@ -108,8 +107,15 @@ def test_a_group_of_copies_costs_its_rows_and_not_their_square(spark):
     rows = [" ".join([*text[:k % 190], f"x{k}", *text[k % 190 + 1 :]]) for k in range(3000)]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string")
     marks = N.materialize(N.signed(docs, {}), "m")
-    members = marks.select(N.F.lit(1).cast("long").alias("family"), "doc_id", "mark")
-    groups = spark.createDataFrame([(1, 3000)], "family long, n long")
-    dealt = N.star(members, groups, "family", N.FAMILY_BLOCK)
+    members = marks.select(N.F.lit(1).cast("long").alias("family"), N.F.lit(3000).cast("long").alias("n"), "doc_id", "mark")
+    dealt = N.star(members, "family", N.FAMILY_BLOCK)
     assert dealt.count() < 3000 + 3 * N.HUBS * 6 and dealt.filter("side = 1").count() == 3000
     assert {r.class_id for r in N.near_duplicates(docs).collect()} == {0}
+
+
+def test_weights_are_tf_idf(spark):
+    docs = spark.createDataFrame([(1, "a b c d e a b c d e"), (2, "a x y"), (3, "a b")], "doc_id long, text string")
+    idf = N.word_weights(docs)
+    s, w, _ = N.Shingler(idf).shingles("a b c d e a b c d e")
+    ln = {"a": 1.0, "b": 1 + np.log(3 / 2), "c": 1 + np.log(3), "d": 1 + np.log(3), "e": 1 + np.log(3)}
+    assert sorted(w) == pytest.approx([sum(ln.values()) / 5] * 4 + [2 * sum(ln.values()) / 5])
