@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
-_path_of: dict[int, tuple] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,15 +44,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     keep_until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
-    _path_of[id(out)] = (out, path)
+    out._table_path = path
     return out
 
 
 def drop(table: DataFrame) -> None:
     """Delete a table that materialize() returned, once nothing will read it again."""
-    found = _path_of.pop(id(table), None)
-    if found:
-        _drop(table.sparkSession, found[1])
+    _drop(table.sparkSession, table._table_path)
 
 
 def keep_until_exit(spark: SparkSession, path: str) -> None:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, materialize, maybe_in, text_of
+from .common import batches, materialize, maybe_in, text_of, tidy
 
 BITS = 23  # of the filter that tells which digests occur once
 
@@ -91,7 +91,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if last is not None:
             yield _batch([(last[0], *hollow)], [(part, "last", last[1])], extra, kinds)
 
-    table = materialize(rows.mapInArrow(run, f"{_SHAPE}, part int, end string, text string"), "ranges")
+    table = materialize(rows.mapInArrow(tidy(run), f"{_SHAPE}, part int, end string, text string"), "ranges")
     ends = table.filter("end is not null")
     # two rows of each range at most; the last range is followed by the first
     order = Window.orderBy("part")
@@ -102,7 +102,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches(it, 16):
             yield _batch([_row(*r, make, ranks) for r in zip(*[c.to_pylist() for c in b.columns])])
 
-    return table.filter("end is null").select(*_NAMES).unionByName(pairs.select("doc_id", "text", "after_id", "after").mapInArrow(close, _SHAPE))
+    return table.filter("end is null").select(*_NAMES).unionByName(pairs.select("doc_id", "text", "after_id", "after").mapInArrow(tidy(close), _SHAPE))
 
 
 def collisions(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_col: str = "text", make: Callable[[bytes], str] = digest) -> DataFrame:
@@ -149,7 +149,7 @@ def collisions(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_c
     some = maybe_in(texts, "_id", ids)
     first, after = some.select(F.col("_id").alias("_a"), F.col("_text").alias("_first")), some.select(F.col("_id").alias("_b"), F.col("_text").alias("_after"))
     made = changed.join(first, F.col("doc_id").eqNullSafe(F.col("_a"))).join(after, F.col("next_id").eqNullSafe(F.col("_b"))).select("_first", "_after")
-    copies = texts.select("_text").mapInArrow(pick, "digest string, canon binary").unionByName(made.mapInArrow(pick, "digest string, canon binary"))
+    copies = texts.select("_text").mapInArrow(tidy(pick), "digest string, canon binary").unionByName(made.mapInArrow(tidy(pick), "digest string, canon binary"))
     copies = copies.repartition(n, "digest").sortWithinPartitions("digest")
 
     def unlike(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def collisions(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", text_c
                     kinds.append(canon)
         yield rows()
 
-    return copies.mapInArrow(unlike, "digest string, sha string, rank int")
+    return copies.mapInArrow(tidy(unlike), "digest string, sha string, rank int")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", make: Callable[[bytes], str] = digest) -> DataFrame:

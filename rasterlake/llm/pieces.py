@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, text_of
+from .common import batches, text_of, tidy
 
 MARK = "▁"
 WORDS_KEPT = 700_000
@@ -374,7 +374,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "do
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, exact boolean")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, exact boolean")
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -387,4 +387,4 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [machine.decode(np.array(x or [], np.uint32)) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, drop, keep_until_exit, materialize, open_folder, shared_dir, text_of
+from .common import batches, drop, keep_until_exit, materialize, open_folder, shared_dir, text_of, tidy
 
 BITS = 20  # of the frequency table's sum
 BLOCK, LANES, EVERY = 1 << 20, 2048, 128
@@ -308,7 +308,7 @@ def write_ids(docs: DataFrame, path: str, last: int, size: int, id_col: str = "d
     rows = rows.withColumn("hash", F.xxhash64("text"))
     # as many partitions as shuffles have: AQE would not split those that repeat an id
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "hash").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash")
-    return materialize(ordered.select("doc_id", "text").mapInArrow(run, PARTS), "ids")
+    return materialize(ordered.select("doc_id", "text").mapInArrow(tidy(run), PARTS), "ids")
 
 
 def count_ids(parts: DataFrame, size: int) -> np.ndarray:
@@ -322,7 +322,7 @@ def count_ids(parts: DataFrame, size: int) -> np.ndarray:
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(n[used])], names=["id", "n"])
 
-    rows = parts.filter("counts is not null").select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = parts.filter("counts is not null").select("counts").mapInArrow(tidy(count), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size, dtype=np.int64)
     for r in rows:
         out[r.id] = r.n
@@ -349,7 +349,7 @@ def write_files(parts: DataFrame, table: Table, folder: str) -> DataFrame:
                 fs.move(new, f"{root}/{name}")
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(2).slice(k, 1), pa.array([name])], names=["part", "n_ids", "path"])
 
-    return materialize(parts.mapInArrow(encode, "part int, n_ids long, path string"), "files")
+    return materialize(parts.mapInArrow(tidy(encode), "part int, n_ids long, path string"), "files")
 
 
 def read_files(spark: SparkSession, folder: str, table: Table, manifest: DataFrame) -> DataFrame:
@@ -374,7 +374,7 @@ def read_files(spark: SparkSession, folder: str, table: Table, manifest: DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), own, np.int32)), pa.array(names, pa.int64()), pa.array(starts + before), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())], names=["part", "doc_id", "after", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(folder).select("content")
-    rows = files.mapInArrow(decode, "part int, doc_id long, after long, n_tokens long, ids_crc32 long")
+    rows = files.mapInArrow(tidy(decode), "part int, doc_id long, after long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(part), "part").select("doc_id", (F.col("at") + F.col("after")).alias("start"), "n_tokens", "ids_crc32")
 
 
