@@ -50,6 +50,18 @@ def corpus(objects: DataFrame) -> DataFrame:
     return objects.rollup("dataset").agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"), F.sum("blocks").alias("blocks")).select(F.coalesce("dataset", F.lit("Total")).alias("dataset"), "objects", "bytes", "blocks")
 
 
+# Compression tags of TIFF files.
+COMPRESSION = {1: "none", 5: "LZW", 7: "JPEG", 8: "DEFLATE", 32946: "DEFLATE", 50000: "ZSTD"}
+
+
+def manifest(objects: DataFrame) -> DataFrame:
+    """Each object of a catalog: key, size, overviews, blocks of all levels, compression, and what is wrong with it."""
+    names = F.create_map(*[F.lit(x) for kv in COMPRESSION.items() for x in kv])
+    code = F.col("levels")[0]["compression"]
+    blocks = F.aggregate("levels", F.lit(0).cast("long"), lambda n, l: n + l["nbx"].cast("long") * l["nby"])
+    return objects.select("key", "size", (F.size("levels") - 1).alias("overviews"), blocks.alias("blocks"), F.coalesce(names[code], code.cast("string")).alias("compression"), "error")
+
+
 def prefix_statistics(tiles: DataFrame) -> DataFrame:
     """(row_frac, used_frac) of tiles: mean, and how far compressed bytes run ahead of rows at most and at the 95th percentile."""
     d = F.col("used_frac") - F.col("row_frac")

@@ -242,6 +242,18 @@ def environment_report(spark, sf):
     return reports.environment(D.passes(spark, sf))
 
 
+@query("SELECT key, 1000000000000 AS size, count(*) - 1 AS overviews, sum(nbx * (nby + CASE WHEN sid % 11 = 3 THEN 1 ELSE 0 END))::BIGINT AS blocks, CASE WHEN any_value(sid) % 7 = 0 THEN 'LZW' ELSE 'DEFLATE' END AS compression, CASE WHEN any_value(sid) % 23 = 9 THEN 'HTTP 404' END AS error FROM v_level GROUP BY key")
+def catalog_manifest(spark, sf):
+    """Every object of the catalog, its overviews, blocks and compression."""
+    return reports.manifest(D.objects(spark, sf))
+
+
+@query("SELECT block, x, y, v FROM v_cell WHERE block < 3 ORDER BY block, y, x LIMIT 250")
+def cells_row_by_row(spark, sf):
+    """The first cells of a surface, block by block, row by row."""
+    return D.cells(spark, sf).filter("block < 3").orderBy("block", "y", "x").limit(250).select("block", "x", "y", F.when(F.col("v") != -9999.0, F.col("v")).alias("v"))
+
+
 @query("SELECT quantity, value FROM (SELECT count(*)::VARCHAR AS runs, sum(bytes)::BIGINT::VARCHAR AS bytes, max(requests)::VARCHAR AS most_requests, '--' AS nothing FROM v_run) UNPIVOT (value FOR quantity IN (runs, bytes, most_requests, nothing))")
 def summary_unpivoted(spark, sf):
     return reports.unpivoted(D.runs(spark, sf).agg(F.count("*").alias("runs"), F.sum("bytes").alias("bytes"), F.max("requests").alias("most_requests"), F.lit(None).cast("long").alias("nothing")))
