@@ -148,7 +148,7 @@ def consumed_at(data: bytes, places: list[int]) -> list[int]:
     """Compressed bytes used once each of the (rising) output places is reached."""
     done, have, used = [], 0, []
     z = zlib.decompressobj(15 if is_wrapped(data) else -15)
-    rest, fed, step = data, 0, 256
+    rest, fed, step = b"", 0, 256
     for place in places:
         while have < place:
             if not rest:
