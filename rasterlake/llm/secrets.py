@@ -139,11 +139,20 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once: within a lambda an expression would be, for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _blocks(items: Column) -> Column:
     """An array as an array of arrays of BLOCK."""
-    n = F.ceil(F.size(items) / BLOCK).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
+
+    def cut(own: Column) -> Column:
+        n = F.ceil(F.size(own) / BLOCK).cast("int")
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.slice(own, k * BLOCK + 1, BLOCK))
+
+    return _let(items, cut)
 
 
 def _running(items: Column, at: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
@@ -170,13 +179,11 @@ def _matches(text: Column, rule: Rule, order: int) -> Column:
 
     The text between matches and the matches alternate, so running lengths give the places.
     """
-    between, whole = F.split(text, rule.regex, -1), F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
-    held = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group))
-    lengths = F.arrays_zip(
-        F.transform(F.slice(between, 1, F.size(whole)), F.char_length).alias("gap"),
-        F.transform(whole, F.char_length).alias("len"),
-        F.transform(held, F.char_length).alias("held"),
-    )
+    sizes = lambda c: F.transform(c, F.char_length)
+    whole = sizes(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0)))
+    held = whole if rule.group == 0 else sizes(F.regexp_extract_all(text, F.lit(rule.regex), F.lit(rule.group)))
+    # the last text between matches has no match after it: its entry has no len, and is cut off
+    lengths = F.filter(F.arrays_zip(sizes(F.split(text, rule.regex, -1)).alias("gap"), whole.alias("len"), held.alias("held")), lambda x: x["len"].isNotNull())
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         start = at + x["gap"]
@@ -254,7 +261,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRE
         # the part is cut out once, then its pieces are
         return F.array_join(F.transform(F.array(F.struct(part.alias("text"), first.alias("at"), own.alias("own"))), lambda s: F.array_join(F.transform(s["own"], lambda x: F.concat(cut(s["text"], x["at"] - s["at"], x["end"] - x["at"]), F.lit(mask))), "")), "")
 
-    clean = F.concat(F.array_join(F.transform(_blocks(kept["out"]), block), ""), cut(text, kept["at"], F.lit(2**31 - 1)))
+    clean = _let(kept, lambda k: F.concat(F.array_join(F.transform(_blocks(k["out"]), block), ""), cut(text, k["at"], F.lit(2**31 - 1))))
     return rows.withColumn(text_col, F.when(F.size("_secrets") > 0, clean).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
