@@ -16,6 +16,7 @@ from ..functions.columns import div, prefix_length, restart_length
 from ..model import Options
 
 TILE = ["key", "level", "block"]
+BAND = 256  # rows of a tile that one task takes when areas are united
 
 
 def levels_of(objects: DataFrame) -> DataFrame:
@@ -210,11 +211,19 @@ def missing(requests: DataFrame, levels: DataFrame) -> DataFrame:
 def granularity(requests: DataFrame, levels: DataFrame) -> DataFrame:
     """Pixels asked for (each once) against pixels of the tiles that hold them: req_px, blk_px, ratio.
 
-    In each row of a tile the spans asked for are united by a running maximum of their ends.
+    Tiles are cut into bands of BAND rows, and a band where an item begins or ends.  Between two
+    such cuts all rows are alike: there the spans asked for are united by a running maximum of
+    their ends.  Only items are dealt out, by tile and band; their strips stay in the same task.
     """
-    rows = items(requests, levels).withColumn("row", F.explode(F.sequence("ly0", F.col("ly1") - 1)))
-    w = Window.partitionBy(*TILE, "row").orderBy("lx0", "lx1").rowsBetween(Window.unboundedPreceding, -1)
-    covered = F.greatest(F.lit(0), F.col("lx1") - F.greatest("lx0", F.coalesce(F.max("lx1").over(w), F.lit(0))))
+    band = lambda c: div(c, F.lit(BAND))
+    cut = items(requests, levels).withColumn("band", F.explode(F.sequence(band(F.col("ly0")), band(F.col("ly1") - 1))))
+    cut = cut.select(*TILE, "band", F.greatest("ly0", F.col("band") * BAND).alias("y0"), F.least("ly1", (F.col("band") + 1) * BAND).alias("y1"), "lx0", "lx1")
+    of_band = Window.partitionBy(*TILE, "band")
+    cut = cut.withColumn("cuts", F.array_sort(F.array_union(F.collect_set("y0").over(of_band), F.collect_set("y1").over(of_band))))
+    strips = F.transform("cuts", lambda c, i: F.struct(c.alias("y"), (F.get("cuts", i + 1) - c).alias("high")))
+    rows = cut.select(*TILE, "band", "lx0", "lx1", F.inline(F.filter(strips, lambda s: (s["y"] >= F.col("y0")) & (s["y"] < F.col("y1")))))
+    w = Window.partitionBy(*TILE, "band", "y").orderBy("lx0", "lx1").rowsBetween(Window.unboundedPreceding, -1)
+    covered = F.col("high") * F.greatest(F.lit(0), F.col("lx1") - F.greatest("lx0", F.coalesce(F.max("lx1").over(w), F.lit(0))))
     wanted = rows.select(covered.alias("px")).agg(F.coalesce(F.sum("px"), F.lit(0)).cast("long").alias("req_px"))
     whole = required(requests, levels).join(levels, ["key", "level"]).agg(F.coalesce(F.sum(F.col("blockw").cast("long") * F.col("blockh")), F.lit(0)).alias("blk_px"))
     return wanted.crossJoin(whole).select("req_px", "blk_px", F.bround(F.try_divide(F.col("blk_px").cast("double"), F.col("req_px")), 2).alias("ratio"))
