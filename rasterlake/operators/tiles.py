@@ -30,6 +30,15 @@ def tiles_of(objects: DataFrame) -> DataFrame:
     return flat.select("key", F.col("l.level").alias("level"), F.posexplode(F.arrays_zip(F.col("l.offsets").alias("offset"), F.col("l.bytecounts").alias("bytecount"))).alias("block", "t")).select(*TILE, "t.offset", "t.bytecount")
 
 
+def unsent(table: DataFrame) -> DataFrame:
+    """The table with a hint against sending it to the driver and every executor for a join.
+
+    Spark takes what explode makes for as small as what it is made from, so tables of tiles and
+    restart points would be broadcast at any size.
+    """
+    return table.hint("merge")
+
+
 def clip(requests: DataFrame, levels: DataFrame) -> DataFrame:
     """Requests with their part inside the level (x0, y0, x1, y1, half-open); those with none go.
 
@@ -66,7 +75,7 @@ def required(requests: DataFrame, levels: DataFrame) -> DataFrame:
 def jobs(found: DataFrame, tiles: DataFrame) -> DataFrame:
     """One row for each touched tile: its bytes, shallowest and deepest row, number of items."""
     grouped = found.groupBy(*TILE).agg(F.min("ly0").alias("shallow"), (F.max("ly1") - 1).alias("deep"), F.count("*").alias("n_items"))
-    return grouped.join(tiles.select(*TILE, "offset", "bytecount"), TILE)
+    return grouped.join(unsent(tiles.select(*TILE, "offset", "bytecount")), TILE)
 
 
 def as_of(wanted: DataFrame, points: DataFrame, by: list[str], at: str, out: str = "out") -> DataFrame:
