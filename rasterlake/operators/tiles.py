@@ -85,7 +85,7 @@ def as_of(wanted: DataFrame, points: DataFrame, by: list[str], at: str, out: str
     """
     rest = [c for c in points.columns if c not in by]
     own = wanted.select(*by, F.col(at).alias("_at")).distinct()
-    best = own.join(points, by).filter(F.col(out) <= F.col("_at")).groupBy(*by, "_at").agg(F.max(F.struct(out, *[c for c in rest if c != out])).alias("point"))
+    best = own.join(unsent(points), by).filter(F.col(out) <= F.col("_at")).groupBy(*by, "_at").agg(F.max(F.struct(out, *[c for c in rest if c != out])).alias("point"))
     return wanted.join(best.withColumnRenamed("_at", at), [*by, at], "left")
 
 

@@ -41,6 +41,11 @@ def test_tiles_of_jobs_are_not_broadcast(spark, name):
     assert re.search(r"SortMergeJoin \[key#\d+, (?:level#\d+, |0, )?block#\d+\]", plan(Q.QUERIES[name](spark, SF)))
 
 
+@pytest.mark.parametrize("name", ["restart_asof", "restart_plan", "restart_rows"])
+def test_restart_points_are_not_broadcast(spark, name):
+    assert re.search(r"SortMergeJoin \[key#\d+, block#\d+\]", plan(Q.QUERIES[name](spark, SF)))
+
+
 def test_areas_are_united_by_strips(spark):
     draw = random.Random(5)
     levels = [("a", 0, 2000, 1500, 1024, 700, 2, 3, 2), ("b", 0, 300, 300, 1024, 1024, 1, 1, 2)]
