@@ -207,7 +207,7 @@ def theoretical(requests: DataFrame, levels: DataFrame, tiles: DataFrame, header
 
 
 def per_level(requests: DataFrame, levels: DataFrame, tiles: DataFrame) -> DataFrame:
-    return required(requests, levels).join(tiles, TILE).groupBy("level").agg(F.count("*").alias("blocks"), F.sum("bytecount").alias("bytes"))
+    return required(requests, levels).join(unsent(tiles), TILE).groupBy("level").agg(F.count("*").alias("blocks"), F.sum("bytecount").alias("bytes"))
 
 
 def missing(requests: DataFrame, levels: DataFrame) -> DataFrame:
