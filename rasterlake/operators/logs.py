@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tiles import unsent
+
 LOG = "record string, seq long, ts double, ts_end double, method string, kind string, bucket string, key string, query string, `range` string, status int, resp_body_bytes long, http_version string, conn string, new_conn boolean, label string"
 
 
@@ -74,7 +76,7 @@ def diagnose(log: DataFrame, tiles: DataFrame, required: DataFrame, headers: Dat
     t = tiles.filter("bytecount > 0").select("key", "level", "block", F.col("offset").alias("s"), (F.col("offset") + F.col("bytecount")).alias("e"))
     r = log.select(*by, "req", "key", "lo", "hi", F.coalesce("resp_body_bytes", F.lit(0)).alias("size"))
     ranged = r.filter("hi >= lo")
-    both = ranged.withColumn("cell", cells(F.col("lo"), F.col("hi"))).join(t.withColumn("cell", cells(F.col("s"), F.col("e") - 1)), ["key", "cell"])
+    both = ranged.withColumn("cell", cells(F.col("lo"), F.col("hi"))).join(unsent(t.withColumn("cell", cells(F.col("s"), F.col("e") - 1))), ["key", "cell"])
     both = both.filter((F.col("s") <= F.col("hi")) & (F.col("e") > F.col("lo")) & (F.col("cell") == F.floor(F.greatest("s", "lo") / bucket)))
     overlap = both.withColumn("ov", F.least(F.col("hi") + 1, "e") - F.greatest("lo", "s"))
     per_tile = overlap.groupBy(*by, "key", "level", "block", (F.col("e") - F.col("s")).alias("of")).agg(F.sum("ov").alias("got"))

@@ -50,6 +50,11 @@ def test_tiles_of_levels_are_not_broadcast(spark):
     assert re.search(r"SortMergeJoin \[key#\d+, level#\d+, block#\d+\]", plan(Q.QUERIES["theoretical_per_level"](spark, SF)))
 
 
+@pytest.mark.parametrize("name", ["byte_attribution", "diagnosis_by_run", "stacked_shares"])
+def test_tiles_of_logs_are_not_broadcast(spark, name):
+    assert re.search(r"SortMergeJoin \[key#\d+, cell#\d+L?\]", plan(Q.QUERIES[name](spark, SF)))
+
+
 def test_areas_are_united_by_strips(spark):
     draw = random.Random(5)
     levels = [("a", 0, 2000, 1500, 1024, 700, 2, 3, 2), ("b", 0, 300, 300, 1024, 1024, 1, 1, 2)]
