@@ -55,6 +55,10 @@ def test_tiles_of_logs_are_not_broadcast(spark, name):
     assert re.search(r"SortMergeJoin \[key#\d+, cell#\d+L?\]", plan(Q.QUERIES[name](spark, SF)))
 
 
+def test_tiles_are_made_by_more_tasks_where_there_are_more(spark):
+    assert D.tiles(spark, SF).rdd.getNumPartitions() == 1 < D.tiles(spark, "/root/testdata/sf0.1").rdd.getNumPartitions()
+
+
 def test_areas_are_united_by_strips(spark):
     draw = random.Random(5)
     levels = [("a", 0, 2000, 1500, 1024, 700, 2, 3, 2), ("b", 0, 300, 300, 1024, 1024, 1, 1, 2)]
