@@ -16,7 +16,9 @@ def covering(points: DataFrame, boxes: DataFrame, cell: float = 1.0, on: list[st
     """
     on = on or []
     col = lambda c: F.floor(F.col(c) / F.lit(float(cell))).cast("long")
-    tiled = boxes.withColumn("cx", F.explode(F.sequence(col("w"), col("e")))).withColumn("cy", F.explode(F.sequence(col("s"), col("n"))))
+    # of boxes in the same place only the least key can be the answer
+    alone = boxes.groupBy("w", "s", "e", "n", *on).agg(F.min("key").alias("key"))
+    tiled = alone.withColumn("cx", F.explode(F.sequence(col("w"), col("e")))).withColumn("cy", F.explode(F.sequence(col("s"), col("n"))))
     p = points.select("pt_id", "px", "py", *on).withColumn("cx", col("px")).withColumn("cy", col("py"))
     hits = p.join(tiled, ["cx", "cy", *on]).filter("w <= px and px < e and s < py and py <= n").groupBy("pt_id").agg(F.min("key").alias("key"))
     return points.join(hits, "pt_id", "left")

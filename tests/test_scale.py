@@ -74,3 +74,12 @@ def test_areas_are_united_by_strips(spark):
     assert (r.req_px, r.blk_px) == (want, met)
     one = tiles.granularity(spark.createDataFrame([(0, "b", 0, 0, 0, 300, 300)], REQUESTS), spark.createDataFrame(levels, LEVELS))
     assert most_rows(one) < 20 and one.first().req_px == 90000  # a row for each row of pixels before
+
+
+def test_boxes_in_the_same_place_meet_points_once(spark):
+    boxes = spark.range(500).select(F.format_string("k%03d", 499 - F.col("id")).alias("key"), *[F.lit(v).alias(c) for c, v in (("w", 0.0), ("s", 0.0), ("e", 2.0), ("n", 2.0))])
+    boxes = boxes.unionByName(spark.createDataFrame([("a", 1.0, 1.0, 3.0, 3.0)], boxes.schema))
+    points = spark.range(40).select(F.col("id").alias("pt_id"), (F.col("id") / 10.0).alias("px"), F.lit(1.5).alias("py"))
+    found = geo.covering(points, boxes, 3.0)
+    assert most_rows(found) < 1000
+    assert {r.pt_id: r.key for r in found.collect()} == {i: "k000" if i < 10 else "a" if i < 30 else None for i in range(40)}
