@@ -83,3 +83,8 @@ def test_boxes_in_the_same_place_meet_points_once(spark):
     found = geo.covering(points, boxes, 3.0)
     assert most_rows(found) < 1000
     assert {r.pt_id: r.key for r in found.collect()} == {i: "k000" if i < 10 else "a" if i < 30 else None for i in range(40)}
+
+
+@pytest.mark.parametrize("name", ["streaming_new_connections", "streaming_sessions"])
+def test_streams_give_files(spark, name):
+    assert Q.QUERIES[name](spark, SF).inputFiles()
