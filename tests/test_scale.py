@@ -88,3 +88,40 @@ def test_boxes_in_the_same_place_meet_points_once(spark):
 @pytest.mark.parametrize("name", ["streaming_new_connections", "streaming_sessions"])
 def test_streams_give_files(spark, name):
     assert Q.QUERIES[name](spark, SF).inputFiles()
+
+
+def test_sessions_in_any_order_of_rows(spark, tmp_path):
+    draw = random.Random(8)
+    rows = [(draw.choice("pqrs") if k % 9 else None, draw.choice(["req"] * 12 + ["session_start", "session_end", "other", None]), draw.randrange(3000) / 2, f"n{k}", "c", "GET", draw.choice([None, k, 5 * k])) for k in range(4000)]
+    seen = set()
+    for k, r in enumerate(rows):  # starts and ends at one time have no order of their own
+        if r[1] in ("session_start", "session_end"):
+            if (r[0], r[1], r[2]) in seen:
+                rows[k] = (r[0], "req", *r[2:])
+            seen.add((r[0], r[1], r[2]))
+    spark.createDataFrame(rows, S.EVENT).repartition(7).write.json(f"{tmp_path}/in")
+    S.sessions(S.read_events(spark, f"{tmp_path}/in")).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    want = []
+    for source in ("p", "q", "r", "s", None):
+        n, now = 0, None
+        for _, kind, ts, label, _, _, size in sorted((r for r in rows if r[0] == source and r[1] in S.RANKS), key=lambda r: (r[2], S.RANKS.index(r[1]))):
+            if kind == "req":
+                if now:
+                    now[5:] = [now[5] + 1, now[6] + (size or 0)]
+                continue
+            if now:
+                now[4] = ts
+                want.append(tuple(now))
+            now = None
+            if kind == "session_start":
+                n += 1
+                now = [source, n, label, ts, None, 0, 0]
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=str) == sorted(want, key=str)
+
+
+def test_requests_are_packed_before_they_meet(spark):
+    n = 10000
+    b = pa.RecordBatch.from_pydict({"source": ["p"] * n, "record": ["req"] * n, "ts": [float(k) for k in range(n)], "label": ["s1"] * n, "resp_body_bytes": [k * 7919 % 100000 for k in range(n)]})
+    (got,) = S._runs(iter([b]))
+    assert got.num_rows == 1 and got.nbytes < 4 * n
+    assert S._unpacked(got["size"][0].as_py(), np.int64).tolist() == b["resp_body_bytes"].to_pylist()
