@@ -24,6 +24,7 @@ from .sources.transport import as_range, checked
 
 PARTS = "req_id long, dy0 int, dx0 int, h int, w int, dtype string, data binary, value double, requests long, bytes long, retries long, blocks long, groups long, undershoots long, restarted long, window_bytes long, whole_bytes long, extra_bytes long, error string"
 _COUNTED = ("requests", "bytes", "retries", "blocks", "groups", "undershoots", "restarted", "window_bytes", "whole_bytes", "extra_bytes")
+SLICE = 4096  # requests that a task holds as rows at once
 ITEMS = 65536  # requests of a tile that one task takes; a tile with more is decoded by several
 _log = logging.getLogger(__name__)
 
@@ -167,14 +168,16 @@ class Lake:
             group: list[dict] = []
             name = lambda job: (job["key"], job["level"], job["group_id"], job["part"])
             for b in it:
-                for at in range(0, b.num_rows, 64):
-                    for job in b.slice(at, 64).to_pylist():
-                        if group and name(job) != name(group[0]):
-                            yield _run(transport, group)
-                            group = []
-                        group.append(job)
+                jobs, items = b.drop_columns(["items"]), b.column("items")
+                for at in range(b.num_rows):
+                    # items stay columns: as dicts those of a range would take some hundred bytes each
+                    job = jobs.slice(at, 1).to_pylist()[0] | {"items": items.slice(at, 1).flatten()}
+                    if group and name(job) != name(group[0]):
+                        yield from _run(transport, group)
+                        group = []
+                    group.append(job)
             if group:
-                yield _run(transport, group)
+                yield from _run(transport, group)
 
         return dealt.mapInArrow(run, PARTS)
 
@@ -276,9 +279,38 @@ def _batch(parts: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([blank | p for p in parts], schema=_SCHEMA)
 
 
-def _run(transport, group: list[dict]) -> pa.RecordBatch:
+class _Parts:
+    """Parts of requests, as columns but for the last few and the first, which carries the counts in the end."""
+
+    def __init__(self):
+        self.first: list[dict] = []
+        self.rows: list[dict] = []
+        self.batches: list[pa.RecordBatch] = []
+
+    def append(self, part: dict) -> None:
+        if not self.first:
+            self.first.append(part)
+            return
+        self.rows.append(part)
+        if len(self.rows) == SLICE:
+            self.batches.append(_batch(self.rows))
+            self.rows = []
+
+    def all(self, counts: dict) -> Iterator[pa.RecordBatch]:
+        yield _batch([p | counts for p in self.first])
+        yield from self.batches
+        if self.rows:
+            yield _batch(self.rows)
+
+
+def _items(job: dict) -> Iterator[dict]:
+    for at in range(0, len(job["items"]), SLICE):
+        yield from job["items"].slice(at, SLICE).to_pylist()
+
+
+def _run(transport, group: list[dict]) -> Iterator[pa.RecordBatch]:
     """Fetch one range, decode its tiles, and cut the parts of their requests."""
-    parts: list[dict] = []
+    parts = _Parts()
     stats = dict.fromkeys(_COUNTED, 0)
     first = group[0]
 
@@ -302,22 +334,21 @@ def _run(transport, group: list[dict]) -> pa.RecordBatch:
     except (TransportError, Unsupported) as e:
         # all or nothing for every request that the range was for
         error = f"{type(e).__name__}: {e}"
-        parts = [{"req_id": r, "error": error} for r in sorted({i["req_id"] for job in group for i in job["items"]})]
-    if parts:
-        parts[0] |= stats
-    return _batch(parts)
+        parts = _Parts()
+        for r in sorted({i["req_id"] for job in group for i in _items(job)}):
+            parts.append({"req_id": r, "error": error})
+    yield from parts.all(stats)
 
 
 def _part(item: dict, values: np.ndarray) -> dict:
     return {"req_id": item["req_id"], "dy0": item["dy0"], "dx0": item["dx0"], "h": values.shape[0], "w": values.shape[1], "dtype": str(values.dtype), "data": values.tobytes(), "value": float(values.flat[0])}
 
 
-def _job(job: dict, data: bytes, fetch, parts: list[dict], stats: dict) -> None:
+def _job(job: dict, data: bytes, fetch, parts: _Parts, stats: dict) -> None:
     bw, size = job["blockw"], job["itemsize"]
     row_bytes = bw * size
-    items = job["items"]
     if not job["bytecount"]:
-        for i in items:
+        for i in _items(job):
             parts.append(_part(i, np.full((i["ly1"] - i["ly0"], i["lx1"] - i["lx0"]), job["fill"]).astype(job["dtype"])))
         return
     at = job["start"] - job["g_start"]
@@ -346,5 +377,5 @@ def _job(job: dict, data: bytes, fetch, parts: list[dict], stats: dict) -> None:
     top = job["shallow"]
     rows = np.frombuffer(out, np.uint8)[top * row_bytes - base : need].reshape(-1, row_bytes)
     values = undo_predictor(rows, job["dtype"], bw, job["predictor"])
-    for i in items:
+    for i in _items(job):
         parts.append(_part(i, np.ascontiguousarray(values[i["ly0"] - top : i["ly1"] - top, i["lx0"] : i["lx1"]])))

@@ -125,3 +125,14 @@ def test_requests_are_packed_before_they_meet(spark):
     (got,) = S._runs(iter([b]))
     assert got.num_rows == 1 and got.nbytes < 4 * n
     assert S._unpacked(got["size"][0].as_py(), np.int64).tolist() == b["resp_body_bytes"].to_pylist()
+
+
+def test_items_of_a_range_are_held_as_columns(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(reader, "_batch", lambda parts, f=reader._batch: held.append(len(parts)) or f(parts))
+    n = 20000
+    items = pa.array([{"req_id": k, "ly0": 0, "ly1": 1, "lx0": k % 8, "lx1": k % 8 + 1, "dy0": 0, "dx0": 0} for k in range(n)])
+    job = {"key": "a", "level": 0, "group_id": -1, "block": 0, "bytecount": 0, "blockw": 8, "itemsize": 2, "dtype": "uint16", "fill": 7.0, "items": items}
+    got = pa.Table.from_batches(reader._run(None, [job]))
+    assert max(held) <= 4096 and got["req_id"].to_pylist() == list(range(n)) and set(got["value"].to_pylist()) == {7.0}
+    assert sum(got["blocks"].to_pylist()) == 1
