@@ -76,6 +76,12 @@ def test_areas_are_united_by_strips(spark):
     assert most_rows(one) < 20 and one.first().req_px == 90000  # a row for each row of pixels before
 
 
+def test_points_are_dealt_out_before_they_meet_images(spark):
+    t = workloads.timeseries(D.stack_points(spark, SF), D.stack(spark, "/root/testdata/sf0.1"), "s2ts/T1/")
+    n = D.stack_points(spark, SF).rdd.getNumPartitions()
+    assert n < 4 == t.rdd.getNumPartitions() and t.select("visit").distinct().count() == t.count()
+
+
 def test_boxes_in_the_same_place_meet_points_once(spark):
     boxes = spark.range(500).select(F.format_string("k%03d", 499 - F.col("id")).alias("key"), *[F.lit(v).alias(c) for c, v in (("w", 0.0), ("s", 0.0), ("e", 2.0), ("n", 2.0))])
     boxes = boxes.unionByName(spark.createDataFrame([("a", 1.0, 1.0, 3.0, 3.0)], boxes.schema))
