@@ -147,8 +147,10 @@ class Lake:
         identity = self.objects.select("key", "identity")
         # a tile that very many ask for is dealt to several tasks, each with its own fetch
         n_parts = F.greatest(F.lit(1), F.ceil(F.col("n_items") / ITEMS)).cast("int")
-        of_tile = found.join(planned.select(*tiles.TILE, n_parts.alias("n_parts")), tiles.TILE)
-        of_tile = of_tile.withColumn("part", F.pmod(F.xxhash64("req_id"), "n_parts").cast("int")).groupBy(*tiles.TILE, "part").agg(F.collect_list(F.struct("req_id", "ly0", "ly1", "lx0", "lx1", "dy0", "dx0")).alias("items"))
+        of_tile = found.join(planned.select(*tiles.TILE, n_parts.alias("n_parts"), "n_items"), tiles.TILE)
+        # lists stay short: those of one tile and part meet again in the task that reads it
+        n_slices = F.ceil(F.least(F.col("n_items"), F.lit(ITEMS)) / SLICE)
+        of_tile = of_tile.withColumn("part", F.pmod(F.xxhash64("req_id"), "n_parts").cast("int")).withColumn("slice", F.pmod(F.xxhash64(F.lit(1), "req_id"), n_slices)).groupBy(*tiles.TILE, "part", "slice").agg(F.collect_list(F.struct("req_id", "ly0", "ly1", "lx0", "lx1", "dy0", "dx0")).alias("items"))
         jobs = planned.join(geometry, ["key", "level"]).join(identity, "key").join(groups, ["key", "level", "block"], "left").join(of_tile, tiles.TILE)
         jobs = jobs.withColumn("_out", F.col("point.out"))
         if self.points is not None:
@@ -161,7 +163,7 @@ class Lake:
         # tiles that aren't stored need no range, and are no group
         flat = jobs.select("key", "level", F.coalesce("group_id", -1 - F.col("block")).alias("group_id"), "part", "block", "g_start", "g_length", "extra_bytes", "offset", "bytecount", "start", "prefix", "shallow", "deep", "blockw", "blockh", "itemsize", "dtype", "predictor", "object_size", "identity", "fill", *cols, "p_window", "items")
         n = max(self.options.workers, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt = flat.repartition(n, "key", "level", "group_id", "part").sortWithinPartitions("key", "level", "group_id", "part", "start")
+        dealt = flat.repartition(n, "key", "level", "group_id", "part").sortWithinPartitions("key", "level", "group_id", "part", "start", "block")
         transport = self.transport
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -171,11 +173,14 @@ class Lake:
                 jobs, items = b.drop_columns(["items"]), b.column("items")
                 for at in range(b.num_rows):
                     # items stay columns: as dicts those of a range would take some hundred bytes each
-                    job = jobs.slice(at, 1).to_pylist()[0] | {"items": items.slice(at, 1).flatten()}
+                    job = jobs.slice(at, 1).to_pylist()[0] | {"items": [items.slice(at, 1).flatten()]}
                     if group and name(job) != name(group[0]):
                         yield from _run(transport, group)
                         group = []
-                    group.append(job)
+                    if group and job["block"] == group[-1]["block"]:
+                        group[-1]["items"] += job["items"]
+                    else:
+                        group.append(job)
             if group:
                 yield from _run(transport, group)
 
@@ -304,8 +309,9 @@ class _Parts:
 
 
 def _items(job: dict) -> Iterator[dict]:
-    for at in range(0, len(job["items"]), SLICE):
-        yield from job["items"].slice(at, SLICE).to_pylist()
+    for some in job["items"]:
+        for at in range(0, len(some), SLICE):
+            yield from some.slice(at, SLICE).to_pylist()
 
 
 def _run(transport, group: list[dict]) -> Iterator[pa.RecordBatch]:

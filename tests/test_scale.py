@@ -12,6 +12,7 @@ from rasterlake import queries as Q
 from rasterlake import reader
 from rasterlake.operators import geo, tiles, workloads
 from rasterlake.plans import driver_tables as D
+from rasterlake.sources import catalog
 from rasterlake.streaming import sessions as S
 
 SF = "/root/testdata/sf0.001"
@@ -138,7 +139,18 @@ def test_items_of_a_range_are_held_as_columns(spark, monkeypatch):
     monkeypatch.setattr(reader, "_batch", lambda parts, f=reader._batch: held.append(len(parts)) or f(parts))
     n = 20000
     items = pa.array([{"req_id": k, "ly0": 0, "ly1": 1, "lx0": k % 8, "lx1": k % 8 + 1, "dy0": 0, "dx0": 0} for k in range(n)])
-    job = {"key": "a", "level": 0, "group_id": -1, "block": 0, "bytecount": 0, "blockw": 8, "itemsize": 2, "dtype": "uint16", "fill": 7.0, "items": items}
+    job = {"key": "a", "level": 0, "group_id": -1, "block": 0, "bytecount": 0, "blockw": 8, "itemsize": 2, "dtype": "uint16", "fill": 7.0, "items": [items]}
     got = pa.Table.from_batches(reader._run(None, [job]))
     assert max(held) <= 4096 and got["req_id"].to_pylist() == list(range(n)) and set(got["value"].to_pylist()) == {7.0}
     assert sum(got["blocks"].to_pylist()) == 1
+
+
+def test_lists_of_requests_stay_short(spark, monkeypatch):
+    monkeypatch.setattr(reader, "SLICE", 50)
+    transport = D.series(1)
+    lake = reader.Lake(spark, catalog.scan(spark.createDataFrame([("day0.tif",)], "key string"), transport), transport)
+    asked = spark.range(1000).select(F.col("id").alias("req_id"), F.lit("day0.tif").alias("key"), F.lit(0).alias("level"), (F.col("id") % 100).cast("int").alias("x"), F.lit(3).alias("y"), F.lit(1).alias("w"), F.lit(1).alias("h"))
+    rows = lake.read_frame(asked)
+    assert rows.count() == 1000 and rows.agg(F.sum("blocks")).first()[0] == 1  # a tile's lists are one job
+    assert re.search(r"ObjectHashAggregate\(keys=\[[^\]]*slice#", plan(rows))
+    assert {r.req_id: r.value for r in rows.collect()} == {k: (k % 100 * 7 + 39) % 5000 for k in range(1000)}
